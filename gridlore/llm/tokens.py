@@ -1,9 +1,12 @@
-"""Tokenizing with the tokenizers library, one file per worker process.
-
-A text is cut where the tokenizer's own splitting always cuts: before each run
-of non-blank characters (with the one space in front of it, for byte-level
-vocabularies).  Each piece's ids come from the library; a bounded cache of pieces
-saves asking it twice.  ``tests/llm`` compares with whole-text encoding.
+"""Tokenizing with the tokenizers library, one encoder per worker process.
+
+A text is cut where the tokenizer's own splitting always cuts: at each run of
+non-blank characters (with the one space in front of it, for byte-level
+vocabularies).  Ids of a piece are asked of the library once and kept in a bounded
+table.  Pieces of plain letters, digits and marks are split further by the same rule
+the vocabulary states and go straight to the library's BPE model; every other piece
+goes through the library's whole ``encode``.  ``tests/llm`` compares with whole-text
+encoding.
 """
 
 from __future__ import annotations
@@ -16,8 +19,14 @@ import numpy as np
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WITH_SPACE = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 WORDS_ONLY = re.compile(f"[^{WS}]+")
-CACHE_PIECES = 400_000
-MAX_PIECE = 64  # longer pieces are not kept
+#: Letters of Latin-1, digits, and ASCII marks but the apostrophe: the rules agree on these.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = "!-&(-/:-@\\[-`{-~"
+PLAIN = re.compile(f" ?[{_LETTERS}0-9{_MARKS}]+")
+RUNS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+")
+RUNS_LOWER = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+CACHE_PIECES = 1_000_000  # about 200 bytes each
+MAX_PIECE = 48  # longer pieces are not kept
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
@@ -28,62 +37,78 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves; the others follow from U+0100 on.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Table(dict):
+    """Ids by piece; an unknown piece gets a place that is filled before it is used."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytearray:
+        place = self[piece] = self.waiting[piece] = bytearray()
+        return place
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, keep: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
-        normalizer = self.tokenizer.normalizer
-        self.pattern = WITH_SPACE if normalizer is None else WORDS_ONLY
-        self.joint = "" if normalizer is None else " "
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece, by one call of the library over all of them."""
-        got: dict[str, bytes] = {}
-        simple = [p for p in pieces if p.isascii() and (self.joint or (p[0] == " " and len(p) > 1))]
-        if len(simple) > 1:
-            whole = self.tokenizer.encode(self.joint.join(simple), add_special_tokens=False)
-            ids = np.array(whole.ids, dtype=self.dtype)
-            begins = np.array([o[0] for o in whole.offsets], dtype=np.int64)
-            ends = np.cumsum([len(p) for p in simple]) + len(self.joint) * np.arange(len(simple))
-            cut = np.searchsorted(begins, ends[:-1], "left")
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            bounds = [0, *(cut * size).tolist(), len(raw)]
-            got = {p: raw[bounds[i]:bounds[i + 1]] for i, p in enumerate(simple)}
-            pieces = [p for p in pieces if p not in got]
-        if pieces:
-            for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-                got[p] = np.array(e.ids, dtype=self.dtype).tobytes()
+        self.lower = self.tokenizer.normalizer is not None
+        self.pattern = WORDS_ONLY if self.lower else WITH_SPACE
+        self.runs = RUNS_LOWER if self.lower else RUNS
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)
+        self.letters = str.maketrans(_byte_letters())
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.keep = keep
+        self.table = _Table()
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one run, which the vocabulary's rule never splits."""
+        got = self.parts.get(part)
+        if got is None:
+            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+            got = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
+            if len(self.parts) < self.keep // 2:
+                self.parts[part] = got
         return got
 
+    def _learn(self, piece: str) -> bytes:
+        if PLAIN.fullmatch(piece) and not ("<|" in piece and any(s in piece for s in self.special)):
+            return b"".join(map(self._part, self.runs.findall(piece.lower() if self.lower else piece)))
+        return self._whole(piece)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pattern.findall(t) for t in texts]
-        cache = self.cache
-        missing = list({p for pieces in cut for p in pieces if p not in cache})
-        table = cache
-        if missing:
-            got = self._learn(missing)
-            room = CACHE_PIECES - len(cache)
-            if room > 0:
-                cache.update((p, b) for p, b in list(got.items())[:room] if len(p) <= MAX_PIECE)
-            if any(p not in cache for p in missing):
-                table = _Two(cache, got)
-        return [b"".join([table[p] for p in pieces]) for pieces in cut]
-
-
-class _Two(dict):
-    """Looks in the pieces of this call, then in the cache."""
-
-    def __init__(self, cache: dict[str, bytes], got: dict[str, bytes]):
-        super().__init__(got)
-        self.rest = cache
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.rest[piece]
+        table, find = self.table, self.pattern.findall
+        found = [[table[p] for p in find(t)] for t in texts]
+        waiting, table.waiting = table.waiting, {}
+        room = self.keep - (len(table) - len(waiting))
+        for i, (piece, place) in enumerate(waiting.items()):
+            ids = self._learn(piece)
+            place += ids
+            if i < room and len(piece) <= MAX_PIECE:
+                table[piece] = ids
+            else:  # only needed here
+                del table[piece]
+        return [b"".join(f) for f in found]
 
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
