@@ -129,26 +129,31 @@ def _threads(ws: Workspace, nodes: DataFrame) -> DataFrame:
     """nodes with root (the thread's first turn in the conversation) and depth.
 
     Only parents in the same conversation are followed; they are earlier turns, so
-    there is no cycle.  Each round doubles the length of chain that is known.
+    there is no cycle.  Each round doubles the length of chain that is known, and only
+    messages whose thread's first turn isn't known yet take part.
     """
     inside = F.col("parent.conv_id") == F.col("conv_id")
     state = nodes.select("conv_id", "turn", F.when(inside, F.col("parent.turn")).otherwise(F.col("turn")).alias("root"),
-                         F.when(inside, 1).otherwise(0).cast("long").alias("depth"))
-    state = ws.save(state, "state-0")
+                         F.when(inside, 1).otherwise(0).cast("long").alias("depth"), F.coalesce(~inside, F.lit(True)).alias("known"))
+    done = [ws.save(state.where("known"), "known-0")]
+    todo = ws.save(state.where("NOT known"), "todo-0")
     k = 0
-    while True:
-        nxt = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        moved = state.join(nxt, ["conv_id", "root"], "left").select(
-            "conv_id", "turn", F.coalesce("root2", "root").alias("root"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.coalesce("depth2", F.lit(0)) > 0).alias("moved"))
+    while not todo.isEmpty():
+        everyone = todo
+        for part in done:
+            everyone = everyone.unionByName(part)
+        at = everyone.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"),
+                             F.col("known").alias("known2"))
+        moved = todo.join(at, ["conv_id", "root"]).select("conv_id", "turn", F.col("root2").alias("root"),
+                                                          (F.col("depth") + F.col("depth2")).alias("depth"), F.col("known2").alias("known"))
         k += 1
-        moved = ws.save(moved, f"state-{k}")
-        ws.drop(f"state-{k - 1}")
-        if moved.where("moved").isEmpty():
-            break
-        state = moved.drop("moved")
-    return nodes.join(moved.drop("moved"), ["conv_id", "turn"])
+        moved = ws.save(moved, f"moved-{k}")
+        done.append(moved.where("known"))
+        todo = moved.where("NOT known")
+    result = done[0]
+    for part in done[1:]:
+        result = result.unionByName(part)
+    return nodes.join(result.drop("known"), ["conv_id", "turn"])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
