@@ -63,34 +63,41 @@ def shuffle_partitions(spark: SparkSession, rows: int = 0, rows_each: int = 1_00
 def connected_components(ws: Workspace, edges: DataFrame, label: str = "cc") -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b); component = smallest id.
 
-    Each round every vertex points at its smallest neighbour, pointers are
-    followed twice, and edges are rewritten between the targets.  A vertex only
-    ever points at a smaller id, so the last target is the component's minimum.
-    No vertex gathers its neighbour list: the one grouping is a ``min`` with
-    map-side combine, and joins run between two stored tables, which lets
-    adaptive execution split a hot vertex.  Loops and repeated edges are fine;
+    Each round every vertex points at its smallest neighbour if that is smaller than
+    itself, pointers are followed to their ends by doubling, and edges are rewritten
+    between the ends.  A vertex only ever points at a smaller id, so the last end is
+    the component's minimum.  No vertex gathers its neighbour list: the one grouping is
+    a ``min`` with map-side combine, and joins run between two stored tables, which
+    lets adaptive execution split a hot vertex.  Loops and repeated edges are fine;
     empty edges give an empty result.
     """
     steps: list[DataFrame] = []
-    current = ws.save(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    current = ws.save(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
                       .where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), f"{label}-e0")
     k = 0
     while not current.isEmpty():
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n"))
-        point = ws.save(point.select("id", F.least("id", "n").alias("to")), f"{label}-p{k}")
-        hop = point.select(F.col("id").alias("h"), F.col("to").alias("hto"))
-        jumped = ws.save(point.join(hop, point["to"] == hop["h"])
-                         .select("id", F.col("hto").alias("to")), f"{label}-j{k}")
-        steps.append(jumped)
-        left = jumped.select(F.col("id").alias("a"), F.col("to").alias("ta"))
-        right = jumped.select(F.col("id").alias("b"), F.col("to").alias("tb"))
+        point = ws.save(point.select("id", F.least("id", "n").alias("to"), (F.col("id") < F.col("n")).alias("end")), f"{label}-p{k}-0")
+        hops = 0
+        while True:
+            hop = point.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"))
+            point = ws.save(point.join(hop, "to").select("id", F.col("to2").alias("to"), "end", "end2"), f"{label}-p{k}-{hops + 1}")
+            ws.drop(f"{label}-p{k}-{hops}")
+            hops += 1
+            if point.where("NOT end2").isEmpty():
+                break
+            point = point.drop("end2")
+        point = point.select("id", "to")
+        steps.append(point)
+        left = point.select(F.col("id").alias("a"), F.col("to").alias("ta"))
+        right = point.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         moved = (current.join(left, "a").join(right, "b")
                  .where("ta <> tb")
                  .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         k += 1
         nxt = ws.save(moved, f"{label}-e{k}")
-        ws.drop(f"{label}-e{k - 1}", f"{label}-p{k - 1}")
+        ws.drop(f"{label}-e{k - 1}")
         current = nxt
     if not steps:
         return current.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -13,15 +13,19 @@ below works between classes.
 3. *Postings.* The first n - ceil(t n) + 1 shingles of each class under the first
    order, with their positions.  Shingles that the sketch shows in very many
    texts are dealt over several tasks.
-4. *Candidates.* Within a small block (classes sharing a prefix shingle), pairs that
-   pass the length and position bounds.  A block of more than ``SMALL_BLOCK`` classes
-   emits only a chain, and the chains' components are compared block by block.
-5. *Intersection and verification.* A candidate must share a prefix shingle under the
-   other orders too; the survivors are counted exactly on their sets.
-   Large components are cut in chunks of bounded size, and pairs of chunks are
-   counted together: first each chunk against itself and a first chunk, then only
-   those pairs of chunks that still hold different components.  They emit a
-   spanning forest of the links found, never all pairs.
+4. *Candidates.* Classes that share a prefix shingle and pass the length and position
+   bounds.  Blocks (the classes of one shingle) of up to ``PAIR_BLOCK`` classes emit
+   pairs; each pair must then pass a parity bitmap of its two sets, whose differing bits
+   never outnumber the shingles that only one set has.  Larger blocks emit few edges,
+   at most one per class: the components of their candidate pairs, or a star above
+   ``SMALL_BLOCK`` classes.  The components of all edges are the candidate groups; no
+   link crosses them.
+5. *Intersection and verification.* Within a group, a pair must share a prefix shingle
+   under every order; what passes is counted exactly on the sets.  A group is cut in
+   chunks of bounded size, and pairs of chunks are counted together, in one product:
+   first each chunk with itself and with the group's first chunk, then, where a group
+   still has several components, what lies outside its largest with all.  Tasks emit
+   a spanning forest of the links found, never the pairs.
 6. *Components* of the links, with the smallest doc_id as the name.
 
 Defined cases: a null text is empty; a text without words has an empty set and links
@@ -43,11 +47,14 @@ from .shingles import mix, shingle_sets, text_blocks
 
 WIDTH = 4
 THRESHOLD = 85
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SKETCH = 2 << SKETCH_BITS
 SLICES = 32
 ORDERS = 3
-SMALL_BLOCK = 32
+SMALL_BLOCK = 512
+PAIR_BLOCK = 64
+MAX_BITS = 1 << 16
+TINY_BLOCK = 8
 HOT_COUNT = 4096
 CHUNK = 256
 
@@ -59,6 +66,12 @@ def _sketch_cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((shingles >> np.uint64(8)) & mask).astype(np.int64), ((shingles >> np.uint64(34)) & mask).astype(np.int64) + (1 << SKETCH_BITS)
 
 
+def _count(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
+    half = SKETCH // 2
+    for i, cells in enumerate(_sketch_cells(np.concatenate(sets))):
+        sketch[i * half:(i + 1) * half] += np.bincount(cells - i * half, minlength=half).astype(np.int32)
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     import xxhash
 
@@ -74,17 +87,19 @@ class Orders:
 
     def __init__(self, sketch: np.ndarray):
         self.sketch = sketch
-        mean = sketch.sum() / len(sketch)
-        self.noise = int(mean + 4 * mean ** 0.5) + 1
+        self.mean = sketch.sum(dtype=np.int64) / len(sketch)
+        self.spread = max(self.mean ** 0.5, 0.5)
 
     def count(self, shingles: np.ndarray) -> np.ndarray:
-        """Upper estimates of how many sets hold each shingle, above the sketch's noise."""
+        """Upper estimates of how many sets hold each shingle, in spreads of the sketch above its mean."""
         one, two = _sketch_cells(shingles)
-        return np.maximum(np.minimum(self.sketch[one], self.sketch[two]) - self.noise, 0)
+        return (np.minimum(self.sketch[one], self.sketch[two]) - self.mean) / self.spread
 
     def keys(self, shingles: np.ndarray, counts: np.ndarray):
         """For each order the shingles' sort keys: count class, then the order's hash."""
-        classes = np.ceil(np.log2(counts + 1.0)).astype(np.uint64) << np.uint64(58)
+        near = np.clip(np.floor(2 * (counts + 4)), 0, 24)
+        far = 24 + np.floor(np.log2(np.maximum(counts, 8.0) / 8.0) * 2)
+        classes = np.minimum(np.where(counts > 8, far, near), 63).astype(np.uint64) << np.uint64(58)
         for seed in _SEEDS[:ORDERS]:
             yield classes | (mix(shingles ^ seed) >> np.uint64(6))
 
@@ -105,19 +120,23 @@ def profile(docs: DataFrame, ws: Workspace, width: int) -> tuple[DataFrame, np.n
                         ("slice", pa.int32()), ("cells", pa.binary())])
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch, held = np.zeros(SKETCH, np.int32), []
         for batch in batches:
             for row, data, offsets in text_blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
-                for cells in _sketch_cells(np.concatenate(sets)):
-                    sketch += np.bincount(cells, minlength=SKETCH)
+                held += sets
+                if sum(map(len, held)) > SKETCH // 4:
+                    _count(sketch, held)
+                    held = []
                 keys = [set_key(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(keys, pa.binary()), pa.array([key and short(key) for key in keys], pa.int64()),
                      pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
-        if sketch.any():
-            parts = np.minimum(sketch, (1 << 32) - 1).astype("<u4").reshape(SLICES, -1)
+        if held:
+            _count(sketch, held)
+        if sketch.any():  # a task's counters stop at 65,535, which only changes the order
+            parts = np.minimum(sketch, (1 << 16) - 1).astype("<u2").reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()),
                  pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
@@ -127,14 +146,15 @@ def profile(docs: DataFrame, ws: Workspace, width: int) -> tuple[DataFrame, np.n
     sketch = np.zeros((SLICES, SKETCH // SLICES), np.int64)
     for r in sums.toLocalIterator():  # fixed size: SLICES rows
         sketch[r["slice"]] += np.frombuffer(bytes(r["cells"]), "<i8")
-    return both.where("slice IS NULL").select("doc_id", "n", "key", "k"), sketch.reshape(-1)
+    sketch = np.minimum(sketch, (1 << 31) - 1).astype(np.int32).reshape(-1)
+    return both.where("slice IS NULL").select("doc_id", "n", "key", "k"), sketch
 
 
 def _add_slices(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cells = np.frombuffer(raw, "<u4").astype(np.int64)
+            cells = np.frombuffer(raw, "<u2").astype(np.int64)
             sums[k] = sums[k] + cells if k in sums else cells
     yield pa.RecordBatch.from_pydict({"slice": list(sums), "cells": [x.astype("<i8").tobytes() for x in sums.values()]},
                                      schema=pa.schema([("slice", pa.int32()), ("cells", pa.binary())]))
@@ -146,7 +166,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, width: int, threshold: int) ->
     k is the first half of the class's key, n_pos its set size and the shingle's
     position.  Copies within one task are listed once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("k", pa.int64()), ("n_pos", pa.int64())])
 
     def run(batches):
@@ -164,7 +184,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, width: int, threshold: int) ->
                     p = prefix_length(len(s), threshold)
                     counts = orders.count(s)
                     at = _first(next(orders.keys(s, counts)), p)
-                    over = counts[at] // HOT_COUNT
+                    over = np.maximum(counts[at] * orders.spread, 0).astype(np.int64) // HOT_COUNT
                     salt = np.where(over > 0, 1 + (k & 0xFFFFFF) % (over + 1), 0)
                     out.append((s[at].view(np.int64), salt, np.full(p, k), (len(s) << 32) + np.arange(p)))
                 if out:
@@ -174,14 +194,37 @@ def postings(docs: DataFrame, sketch: np.ndarray, width: int, threshold: int) ->
     return docs.mapInArrow(run, "token long, salt int, k long, n_pos long")
 
 
-def block_pairs(posts: DataFrame, parts: int, threshold: int) -> DataFrame:
-    """(kind, a, b): 0 candidate pairs, 1 chain edges of large blocks, 2 (token, class) of dealt blocks."""
+def _components_of(linked: np.ndarray) -> np.ndarray:
+    """The first member of each row's component in a symmetric matrix."""
+    root = np.arange(len(linked))
+    todo = linked.any(1)
+    for i in np.flatnonzero(todo):
+        if not todo[i]:
+            continue
+        mine = np.zeros(len(linked), bool)
+        front = np.array([i])
+        while len(front):
+            mine[front] = True
+            front = np.flatnonzero(linked[front].any(0) & ~mine)
+        root[mine] = i
+        todo &= ~mine
+    return root
+
+
+def block_edges(posts: DataFrame, parts: int, threshold: int) -> DataFrame:
+    """(kind, a, b): 0 candidate pairs, 1 edges of large blocks, 2 (token, class) of blocks dealt over tasks."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
+    def may_link(n, pos, x, y):
+        """Length and position bounds of pairs (x, y) with n[x] <= n[y]."""
+        need = -(-threshold * (n[x] + n[y]) // (100 + threshold))
+        return (100 * n[x] >= threshold * n[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
+
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        held = list(batches)
+        if not sum(map(len, held)):
             return
+        table = pa.Table.from_batches(held)
         token, salt, k, n_pos = (table.column(i).to_numpy() for i in range(4))
         order = np.lexsort((k, n_pos >> 32, salt, token))
         token, salt, k, n_pos = token[order], salt[order], k[order], n_pos[order]
@@ -195,82 +238,127 @@ def block_pairs(posts: DataFrame, parts: int, threshold: int) -> DataFrame:
         size = np.diff(np.append(begin, len(new)))
         n, pos = n_pos >> 32, n_pos & 0xFFFFFFFF
         dealt = salt[begin] > 0
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for s in range(2, SMALL_BLOCK + 1):
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        wide: list[tuple[np.ndarray, np.ndarray]] = []
+        for s in range(2, TINY_BLOCK + 1):
             at = begin[(size == s) & ~dealt]
-            if not len(at):
-                continue
-            i, j = np.triu_indices(s, 1)
-            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            need = -(-threshold * (n[x] + n[y]) // (100 + threshold))
-            ok = (100 * n[x] >= threshold * n[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need) & (k[x] != k[y])
-            found.append((0, np.minimum(k[x], k[y])[ok], np.maximum(k[x], k[y])[ok]))
-        in_large = np.repeat((size > SMALL_BLOCK) | dealt, size)
-        link = in_large & ~new
-        at = np.flatnonzero(link)
-        found.append((1, k[at - 1], k[at]))
+            if len(at):
+                i, j = np.triu_indices(s, 1)
+                x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                ok = may_link(n, pos, x, y)
+                found.append((k[x[ok]], k[y[ok]]))
+        for b, s in zip(begin[(size > TINY_BLOCK) & ~dealt].tolist(), size[(size > TINY_BLOCK) & ~dealt].tolist(), strict=True):
+            if s <= SMALL_BLOCK:
+                rows = np.arange(b, b + s)
+                ok = np.triu(may_link(n, pos, rows[:, None], rows[None, :]), 1)
+                if s <= PAIR_BLOCK:
+                    x, y = np.nonzero(ok)
+                    found.append((k[b + x], k[b + y]))
+                else:
+                    root = _components_of(ok | ok.T)
+                    wide.append((k[b + root], k[rows]))
+            else:
+                wide.append((np.full(s, k[b]), k[b:b + s]))
+        for b, s in zip(begin[dealt].tolist(), size[dealt].tolist(), strict=True):
+            wide.append((np.full(s, k[b]), k[b:b + s]))
+
+        def distinct(edges):
+            edges = np.concatenate([np.stack(f) for f in edges], axis=1) if edges else np.empty((2, 0), np.int64)
+            return np.unique(np.sort(edges[:, edges[0] != edges[1]], axis=0), axis=1)
+
         heads = begin[dealt]
-        found.append((2, token[heads], k[heads]))
-        for kind, a, b in found:
+        for kind, a, b in ((0, *distinct(found)), (1, *distinct(wide)), (2, token[heads], k[heads])):
             if len(a):
-                if kind < 2:
-                    a, b = np.unique(np.stack([a, b]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)], schema=schema)
 
     return posts.repartition(parts, "token", "salt").mapInArrow(run, "kind int, a long, b long")
 
 
-def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(k, rep, n, shingles) of the representatives' rows of ``docs``."""
-    n = reps.count()
-    wanted = F.broadcast(reps) if n <= BROADCAST_IDS else reps
-    rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text", "class_key")
-    schema = pa.schema([("k", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+def _rows_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text, class_key, ...) of the representatives' rows.
+
+    The representatives are counted first; up to ``BROADCAST_IDS`` are broadcast, so
+    that texts don't move, and more are joined by shuffle.
+    """
+    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    others = [c for c in reps.columns if c not in ("rep", "class_key")]
+    return docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text", "class_key", *others)
+
+
+def _sets_of(batch, width: int):
+    """(places, sets) of a batch of _rows_of; of rows repeating a doc_id only those of the class."""
+    keys = batch.column(2).to_pylist()
+    for row, data, offsets in text_blocks(batch.column(1)):
+        sets = shingle_sets(data, offsets, width)
+        mine = [i for i, s in enumerate(sets) if set_key(s) == keys[row + i]]
+        yield pa.array([row + i for i in mine], pa.int64()), [sets[i] for i in mine]
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall on each of about n bits."""
+    bits = min(MAX_BITS, max(64, 1 << (len(shingles) - 1).bit_length()))
+    return (np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the longer one is folded to the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.count_nonzero(a != b))
+
+
+def class_bitmaps(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(k, n, bits) of the representatives (rep, class_key)."""
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in text_blocks(batch.column(1)):
-                sets = shingle_sets(data, offsets, width)
-                # rows that repeat a doc_id: only the row of this class
-                mine = [i for i, s in enumerate(sets) if set_key(s) == batch.column(2)[row + i].as_py()]
+            for _, sets in _sets_of(batch, width):
                 yield pa.RecordBatch.from_pydict(
-                    {"k": [short(set_key(sets[i])) for i in mine],
-                     "rep": [batch.column(0)[row + i].as_py() for i in mine], "n": [len(sets[i]) for i in mine],
-                     "shingles": [sets[i].tobytes() for i in mine]}, schema=schema)
+                    {"k": [short(set_key(s)) for s in sets], "n": [len(s) for s in sets],
+                     "bits": [np.packbits(bitmap(s)).tobytes() for s in sets]}, schema=schema)
 
-    return rows.mapInArrow(run, "k long, rep long, n long, shingles binary")
+    return _rows_of(docs, reps).mapInArrow(run, "k long, n long, bits binary")
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, sketch, threshold: int) -> DataFrame:
-    """(a, b) doc_ids of the pairs that link: orders first, then exact counts."""
-    left = sets.select(F.col("k").alias("a"), F.col("rep").alias("rep_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("k").alias("b"), F.col("rep").alias("rep_b"), F.col("shingles").alias("set_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("rep_a", "set_a", "rep_b", "set_b")
+def pass_bitmaps(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets may be close enough by their bitmaps."""
+    left = bits.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = bits.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        orders = Orders(sketch.value)
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            hits = []
-            for ra, sa, rb, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                if _share_prefixes(orders, x, y, threshold):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= threshold * (len(x) + len(y) - both):
-                        hits.append((min(ra, rb), max(ra, rb)))
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], schema=schema)
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(a)):
+                need = -(-threshold * (na[i] + nb[i]) // (100 + threshold))
+                u, v = (np.unpackbits(np.frombuffer(z[i], np.uint8)) for z in (x, y))
+                if differing(u, v) <= na[i] + nb[i] - 2 * need:
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep]), pa.array([b[i] for i in keep])], schema=schema)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _share_prefixes(orders: Orders, x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
-    """Whether the two sets share a prefix shingle under every order."""
-    sides = []
-    for s in (x, y):
-        p = prefix_length(len(s), threshold)
-        sides.append([s[_first(keys, p)] for keys in orders.keys(s, orders.count(s))])
-    return all(len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sides, strict=True))
+def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(grp, chunks, chunk, rep, shingles) of the representatives (rep, class_key, grp, m)."""
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    rows = _rows_of(docs, reps).select("rep", "text", "class_key", "grp", chunks.alias("chunks"),
+                                       F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"))
+    schema = pa.schema([("grp", pa.int64()), ("chunks", pa.int32()), ("chunk", pa.int32()), ("rep", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for at, sets in _sets_of(batch, width):
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in (3, 4, 5, 0)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "grp long, chunks int, chunk int, rep long, shingles binary")
 
 
 def _overlaps(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
@@ -318,7 +406,7 @@ def verify_chunks(rows: DataFrame, sketch, threshold: int, inside: bool) -> Data
     """(a, b) links within each task of rows (task, side, rep, n, shingles).
 
     Side 0 rows are compared with side 1 rows; with ``inside`` also side 1 rows with
-    each other.  A task has at most about two chunks of rows.
+    each other.  A task has about two chunks of rows at most.
     """
     def run(table):
         side = table.column("side").to_numpy()
@@ -355,43 +443,34 @@ def verify_chunks(rows: DataFrame, sketch, threshold: int, inside: bool) -> Data
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def large_links(ws: Workspace, chains: DataFrame, sets: DataFrame, sketch, threshold: int) -> DataFrame:
-    """Links within the components of the large blocks' chains, as a spanning set."""
-    group = connected_components(ws, chains, "large")  # over class numbers k
-    sizes = ws.save(group.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "large-sizes")
-    member = group.join(sizes, "component").select(F.col("id").alias("k"), "component", "m")
-    rows = ws.save(sets.join(member, "k").select("component", "rep", "shingles",
-                   F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"),
-                   F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / CHUNK)).cast("int").alias("chunk")), "large-rows")
+def group_links(ws: Workspace, rows: DataFrame, sketch, threshold: int) -> DataFrame:
+    """Links within the candidate groups of rows (grp, chunks, chunk, rep, shingles), as a spanning set."""
     # first: every chunk with itself and with chunk 0
     to = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    first = rows.select("component", "rep", "shingles", "chunk", F.explode(to).alias("other"))
-    first = first.select(F.struct("component", F.lit(0).alias("i"), F.col("other").alias("j")).alias("task"),
+    first = rows.select("grp", "rep", "shingles", "chunk", F.explode(to).alias("other"))
+    first = first.select(F.struct("grp", F.lit(0).alias("i"), F.col("other").alias("j")).alias("task"),
                          (F.col("chunk") == F.col("other")).cast("int").alias("side"), "rep", "shingles")
-    links = ws.save(verify_chunks(first, sketch, threshold, True), "large-links-0")
-    # then: only pairs of chunks that still hold different components
-    now = connected_components(ws, links, "large-now").withColumnRenamed("id", "rep")
-    now = now.withColumnRenamed("component", "now")
-    rows = ws.save(rows.join(now, "rep", "left").withColumn("now", F.coalesce("now", "rep")), "large-now")
-    sizes = rows.groupBy("component", "now").agg(F.count(F.lit(1)).alias("s"))
-    main = ws.save(sizes.groupBy("component").agg(F.max_by("now", F.struct("s", "now")).alias("main"), F.sum("s").alias("m"),
-                                                  F.count(F.lit(1)).alias("parts")).where("parts > 1"), "large-main")
-    # rows outside the component's main part meet all chunks
-    open_rows = rows.join(main, "component").select(
-        "component", "rep", "shingles", "now", "main", (F.col("now") != F.col("main")).alias("out"),
-        F.ceil(F.col("m") / CHUNK).cast("int").alias("nc"))
-    outer = open_rows.where("out").groupBy("component").agg(F.count(F.lit(1)).alias("om"))
-    outer = ws.save(outer, "large-outer")
-    open_rows = ws.save(open_rows.join(outer, "component").withColumn("oc", F.ceil(F.col("om") / CHUNK).cast("int")), "large-open")
-    base = open_rows.select("*", F.pmod(F.xxhash64("rep"), F.col("nc")).cast("int").alias("c"),
-                            F.pmod(F.xxhash64("rep", F.lit(1)), F.col("oc")).cast("int").alias("o"))
-    left = base.where("out").select("component", "rep", "shingles", F.col("o").alias("i"),
-                                    F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = base.select("component", "rep", "shingles", F.explode(F.sequence(F.lit(0), F.col("oc") - 1)).alias("i"),
+    links = ws.save(verify_chunks(first, sketch, threshold, True), "links-0")
+    cut = ws.save(rows.where("chunks > 1"), "cut")
+    if cut.isEmpty():
+        return links
+    # then: what is outside a group's main component meets all its chunks
+    now = connected_components(ws, links, "now").select(F.col("id").alias("rep"), F.col("component").alias("now"))
+    cut = ws.save(cut.join(now, "rep", "left").withColumn("now", F.coalesce("now", "rep")), "cut-now")
+    sizes = cut.groupBy("grp", "now").agg(F.count(F.lit(1)).alias("s"))
+    main = sizes.groupBy("grp").agg(F.max_by("now", F.struct("s", "now")).alias("main"), F.sum("s").alias("m"), F.max("s").alias("most"))
+    main = main.where("most < m").select("grp", "main", F.ceil(F.col("m") / CHUNK).cast("int").alias("nc"),
+                                         F.ceil((F.col("m") - F.col("most")) / CHUNK).cast("int").alias("oc"))
+    main = ws.save(main, "main")
+    base = cut.join(main, "grp").select(
+        "grp", "rep", "shingles", "nc", "oc", (F.col("now") != F.col("main")).alias("out"),
+        F.pmod(F.xxhash64("rep"), F.col("nc")).cast("int").alias("c"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("oc")).cast("int").alias("o"))
+    outer = base.where("out").select("grp", "rep", "shingles", F.col("o").alias("i"),
+                                     F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("j"), F.lit(0).alias("side"))
+    every = base.select("grp", "rep", "shingles", F.explode(F.sequence(F.lit(0), F.col("oc") - 1)).alias("i"),
                         F.col("c").alias("j"), F.lit(1).alias("side"))
-    both = left.unionByName(right).select(F.struct("component", "i", "j").alias("task"), "side", "rep", "shingles")
-    more = ws.save(verify_chunks(both, sketch, threshold, False), "large-links-1")
-    return links.unionByName(more)
+    both = outer.unionByName(every).select(F.struct("grp", "i", "j").alias("task"), "side", "rep", "shingles")
+    return links.unionByName(ws.save(verify_chunks(both, sketch, threshold, False), "links-1"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -405,23 +484,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = ws.save(classes, "classes")
     expected = classes.agg(F.sum(F.col("n") * (100 - threshold) / 100 + 1)).first()[0] or 0
     parts = shuffle_partitions(spark, int(expected))
-    found = ws.save(block_pairs(postings(docs, sketch, width, threshold), parts, threshold), "found")
-    pairs = ws.save(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    found = ws.save(block_edges(postings(docs, sketch, width, threshold), parts, threshold), "found")
     dealt = found.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("k"))
     heads = dealt.groupBy("token").agg(F.min("k").alias("head"))
-    chains = found.where("kind = 1").select("a", "b").unionByName(
+    wide = found.where("kind = 1").select("a", "b").unionByName(
         dealt.join(heads, "token").select(F.col("head").alias("a"), F.col("k").alias("b")))
-    chains = ws.save(chains.where("a <> b").distinct(), "chains")
+    pairs = ws.save(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    some = ws.save(classes.join(ids, "k", "left_semi").select("rep", F.col("key").alias("class_key")), "some")
+    bits = ws.save(class_bitmaps(docs, some, width), "bitmaps")
+    edges = pass_bitmaps(pairs, bits, threshold).unionByName(wide)
+    group = connected_components(ws, edges, "groups").select(F.col("id").alias("k"), F.col("component").alias("grp"))
+    sizes = ws.save(group.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    member = ws.save(group.join(sizes, "grp"), "member")
+    reps = ws.save(classes.join(member, "k").select("rep", F.col("key").alias("class_key"), "grp", "m"), "reps")
     shared = spark.sparkContext.broadcast(sketch)  # SKETCH counters, a fixed size
-    some_large = not chains.isEmpty()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k"))
-    if some_large:
-        ids = ids.unionByName(chains.select(F.explode(F.array("a", "b")).alias("k")))
-    reps = classes.join(ids.distinct(), "k", "left_semi").select("rep", F.col("key").alias("class_key"))
-    sets = ws.save(class_sets(docs, ws.save(reps, "reps"), width).dropDuplicates(["k", "rep"]), "sets")
-    links = ws.save(verify_pairs(pairs, sets, shared, threshold), "links")
-    if some_large:
-        links = links.unionByName(large_links(ws, chains, sets, shared, threshold))
+    links = group_links(ws, ws.save(class_sets(docs, reps, width), "sets"), shared, threshold)
     # classes that share their smallest doc_id (rows repeating an id) meet in that id
     members = prof.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("key") < F.max("key")).alias("several")).where("several")
     repeated = (prof.where("n > 0").join(members, "doc_id", "left_semi").join(classes.select("key", "rep"), "key")
