@@ -2,8 +2,8 @@
 
 Method, all in DataFrame functions:
 
-1. A labelled table names a domain for some documents.  Naive Bayes over hashed
-   lower-case words is counted on about ``MAX_TRAIN_ROWS`` labelled documents; its
+1. A labelled table names a domain for some documents.  Naive Bayes over hashed word
+   endings (``ENDING`` characters; shorter words whole) is counted on about ``MAX_TRAIN_ROWS`` labelled documents; its
    tables (``BUCKETS`` numbers per domain) become array literals.
 2. Every document gets its domains' posteriors from all its words, tempered to
    ``TEMPER`` words so that long texts keep soft memberships, and its token count
@@ -14,14 +14,16 @@ Method, all in DataFrame functions:
    so nothing per document is stored between steps and nothing returns to the driver
    but those sums.
 
-With ``budget=None`` the total is the largest that needs no repetition: the scarcest
-domain, relative to its weight, is taken whole.  ``copies`` rounds a rate by the id's
-hash: its whole part, and one more with the probability of its fraction.
+Targets are either weights of a total (``targets`` with ``budget`` tokens) or, by
+default, preferences: the share of its own tokens that a domain should keep
+(``PREFERENCES``), so nothing is repeated and what a preference of 1 marks stays whole.
+``copies`` rounds a rate by the id's hash: its whole part, and one more with the
+probability of its fraction; a rate within ``SNAP`` of a whole number is that number.
 
 Defined cases: a null or blank text has no tokens, prior posteriors, and its rate; a
 document labelled twice teaches its alphabetically first domain; null labels teach
 nothing; with nothing labelled every rate is 1; a domain that no document resembles
-cannot be met and is left out of the budget; a null doc_id is carried; repeated rows
+keeps a target of 0; a null doc_id is carried; repeated rows
 are rated alike; an empty table gives an empty result.
 """
 
@@ -35,20 +37,22 @@ from .common import Workspace, documents
 
 BUCKETS = 4096
 MAX_TRAIN_ROWS = 4000
+ENDING = 4
 TEMPER = 60.0
 SMOOTHING = 0.5
 STEPS = 30
 CLOSE = 1e-4
-TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
+PREFERENCES = {"good": 1.0, "poor": 0.5}
+SNAP = 0.1
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of characters that aren't blanks."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Runs of characters that aren't blanks."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(F.right(word, F.lit(ENDING))), F.lit(buckets)).cast("int")
 
 
 def numbers(values) -> Column:
@@ -125,7 +129,10 @@ def _rate(steps: list[np.ndarray], d: int) -> Column:
 
 def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None,
               steps: int = STEPS, close: float = CLOSE) -> tuple[Column, dict]:
-    """(rate column over ``soft``, report).  ``soft`` should be a stored table."""
+    """(rate column over ``soft``, report).  ``soft`` should be a stored table.
+
+    With a budget in tokens, targets are weights of it; without, preferences.
+    """
     d = len(names)
     weight = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
     if not d or not weight.sum():
@@ -142,9 +149,8 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], budg
     weight = np.where(natural > 0, weight, 0.0)
     if not weight.sum():
         return F.lit(1.0), {"steps": 0}
-    weight = weight / weight.sum()
-    total = budget if budget is not None else min(natural[i] / weight[i] for i in range(d) if weight[i] > 0)
-    goal = weight * total
+    goal = natural * weight if budget is None else weight / weight.sum() * budget
+    total = goal.sum()
     back = np.linalg.pinv(g + np.eye(d) * 1e-9 * np.trace(g))
     done: list[np.ndarray] = []
     now = natural
@@ -162,10 +168,12 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], budg
 def copies(rate: Column, id_col: Column) -> Column:
     """A rate as a whole number, by the hash of the id."""
     place = F.pmod(F.xxhash64(id_col, F.lit(44)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor(rate + F.lit(1e-6)) + F.when(place < rate + F.lit(1e-6) - F.floor(rate + F.lit(1e-6)), 1).otherwise(0)).cast("int")
+    part = rate - F.floor(rate)
+    more = F.when(part <= SNAP, 0).when(part >= 1 - SNAP, 1).when(place < part, 1).otherwise(0)
+    return (F.floor(rate) + more).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, id_col: str = "doc_id", text_col: str = "text",
         domain_col: str = "domain", budget: float | None = None) -> tuple[DataFrame, list[str]]:
     """((doc_id, n_tokens, p, rate, copies) of every row, domain names)."""
     ws = Workspace(docs.sparkSession, "mixing")
@@ -180,12 +188,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) of a table of quality and toxic marks: toxic, good or poor."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return labels.select("doc_id", domain.alias("domain"))
+    """(doc_id, domain) of a table of quality marks: 1 good, 0 poor."""
+    return labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, budget: float | None = None) -> DataFrame:
     """``docs`` with each row kept as many times as its ``copies``; rows with a null id once.
 
     Ids to drop are few when the budget is the default; they are removed like
