@@ -30,8 +30,8 @@ def reach_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Pieces of all documents, packed; workers that have run four stages hold a small table of pieces."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), keep=150_000)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .tokens import encoder, slices, tokenizer_path
+from .tokens import CACHE_PIECES, encoder, slices, tokenizer_path
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -123,15 +123,18 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-         end_id: int = END_ID, tiers=TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """Pieces of all documents: PIECE's columns, one row per piece."""
+         end_id: int = END_ID, tiers=TIERS, step_tokens: int = STEP_TOKENS, keep: int = CACHE_PIECES) -> DataFrame:
+    """Pieces of all documents: PIECE's columns, one row per piece.
+
+    ``keep`` bounds the table of tokenized pieces that a worker holds.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         from pyspark import TaskContext
 
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens=step_tokens)
-        enc = encoder(path, "<u4")
+        enc = encoder(path, "<u4", keep)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -25,7 +25,7 @@ _MARKS = "!-&(-/:-@\\[-`{-~"
 PLAIN = re.compile(f" ?[{_LETTERS}0-9{_MARKS}]+")
 RUNS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+")
 RUNS_LOWER = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
-CACHE_PIECES = 1_000_000  # about 200 bytes each
+CACHE_PIECES = 700_000  # about 180 bytes each
 MAX_PIECE = 48  # longer pieces are not kept
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
@@ -76,20 +76,20 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.table = _Table()
-        self.parts: dict[str, bytes] = {}
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
         """Ids of one run, which the vocabulary's rule never splits."""
-        got = self.parts.get(part)
-        if got is None:
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            got = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
-            if len(self.parts) < self.keep // 2:
-                self.parts[part] = got
-        return got
+        got = self.table.get(part)
+        if type(got) is bytes:
+            return got
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        ids = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
+        if got is None and len(self.table) < self.keep:
+            self.table[part] = ids  # a run is a piece, too
+        return ids
 
     def _learn(self, piece: str) -> bytes:
         if PLAIN.fullmatch(piece) and not ("<|" in piece and any(s in piece for s in self.special)):
@@ -100,22 +100,21 @@ class Encoder:
         table, find = self.table, self.pattern.findall
         found = [[table[p] for p in find(t)] for t in texts]
         waiting, table.waiting = table.waiting, {}
-        room = self.keep - (len(table) - len(waiting))
-        for i, (piece, place) in enumerate(waiting.items()):
+        for piece, place in waiting.items():
             ids = self._learn(piece)
             place += ids
-            if i < room and len(piece) <= MAX_PIECE:
+            if len(table) <= self.keep and len(piece) <= MAX_PIECE:
                 table[piece] = ids
             else:  # only needed here
                 del table[piece]
         return [b"".join(f) for f in found]
 
 
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, dtype: str = "<u4", keep: int = CACHE_PIECES) -> Encoder:
     """The worker's encoder for a vocabulary file; made once per process."""
-    key = (path, dtype)
+    key = (path, dtype, keep)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, dtype)
+        _ENCODERS[key] = Encoder(path, dtype, keep)
     return _ENCODERS[key]
 
 
