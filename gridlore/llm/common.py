@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 _OWN_DIR: list[str] = []
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a file of two or three numbers a row.
+ROWS_A_FILE = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +44,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Store and read back; ``files`` bounds the files of a table known to be small."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df if files is None else df.coalesce(files)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -72,17 +75,20 @@ def connected_components(ws: Workspace, edges: DataFrame, label: str = "cc") ->
     empty edges give an empty result.
     """
     steps: list[DataFrame] = []
+    first = 1
     current = ws.save(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
                       .where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), f"{label}-e0")
     k = 0
-    while not current.isEmpty():
+    while n := current.count():
+        files = 1 + n // ROWS_A_FILE
+        first = max(first, files)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n"))
-        point = ws.save(point.select("id", F.least("id", "n").alias("to"), (F.col("id") < F.col("n")).alias("end")), f"{label}-p{k}-0")
+        point = ws.save(point.select("id", F.least("id", "n").alias("to"), (F.col("id") < F.col("n")).alias("end")), f"{label}-p{k}-0", files)
         hops = 0
         while True:
             hop = point.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"))
-            point = ws.save(point.join(hop, "to").select("id", F.col("to2").alias("to"), "end", "end2"), f"{label}-p{k}-{hops + 1}")
+            point = ws.save(point.join(hop, "to").select("id", F.col("to2").alias("to"), "end", "end2"), f"{label}-p{k}-{hops + 1}", files)
             ws.drop(f"{label}-p{k}-{hops}")
             hops += 1
             if point.where("NOT end2").isEmpty():
@@ -96,7 +102,7 @@ def connected_components(ws: Workspace, edges: DataFrame, label: str = "cc") ->
                  .where("ta <> tb")
                  .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         k += 1
-        nxt = ws.save(moved, f"{label}-e{k}")
+        nxt = ws.save(moved, f"{label}-e{k}", files)
         ws.drop(f"{label}-e{k - 1}")
         current = nxt
     if not steps:
@@ -105,7 +111,7 @@ def connected_components(ws: Workspace, edges: DataFrame, label: str = "cc") ->
     for i, step in enumerate(steps[1:], 1):
         nxt = step.select(F.col("id").alias("component"), F.col("to").alias("root"))
         result = ws.save(result.join(nxt, "component", "left")
-                         .select("id", F.coalesce("root", "component").alias("component")), f"{label}-r{i}")
+                         .select("id", F.coalesce("root", "component").alias("component")), f"{label}-r{i}", first)
     return result
 
 

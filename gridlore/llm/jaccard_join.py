@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Workspace, connected_components, documents, shuffle_partitions, without
+from .common import BROADCAST_IDS, ROWS_A_FILE, Workspace, connected_components, documents, shuffle_partitions, without
 from .shingles import mix, shingle_sets, text_blocks
 
 WIDTH = 4
@@ -495,9 +495,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = ws.save(class_bitmaps(docs, some, width), "bitmaps")
     edges = pass_bitmaps(pairs, bits, threshold).unionByName(wide)
     group = connected_components(ws, edges, "groups").select(F.col("id").alias("k"), F.col("component").alias("grp"))
-    sizes = ws.save(group.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    member = ws.save(group.join(sizes, "grp"), "member")
-    reps = ws.save(classes.join(member, "k").select("rep", F.col("key").alias("class_key"), "grp", "m"), "reps")
+    files = 1 + group.count() // ROWS_A_FILE
+    sizes = ws.save(group.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "sizes", files)
+    member = ws.save(group.join(sizes, "grp"), "member", files)
+    reps = ws.save(classes.join(member, "k").select("rep", F.col("key").alias("class_key"), "grp", "m"), "reps", files)
     shared = spark.sparkContext.broadcast(sketch)  # SKETCH counters, a fixed size
     links = group_links(ws, ws.save(class_sets(docs, reps, width), "sets"), shared, threshold)
     # classes that share their smallest doc_id (rows repeating an id) meet in that id
