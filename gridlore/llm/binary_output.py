@@ -150,15 +150,14 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     return rows.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long")
 
 
-def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
+def read_shards(spark: SparkSession, manifest: list, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    ``manifest`` is what ``write_shards`` returned (stored); one row per shard,
-    so summing offsets on the driver is bounded by the number of files.
+    ``manifest`` holds the rows of ``write_shards``, one per shard, so summing
+    offsets on the driver is bounded by the number of files.
     """
-    spark = manifest.sparkSession
     shards, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["shard"]):
+    for r in sorted(manifest, key=lambda r: r["shard"]):
         shards.append((r["name"], start))
         start += r["n_tokens"]
     todo = spark.createDataFrame(shards, "name string, base long").repartition(max(1, len(shards)))
@@ -196,5 +195,5 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "binary")
     folder = ws.path("shards")
-    manifest = ws.save(write_shards(documents(spark, sf_dir), folder, tokenizer_path("word_bpe_49k.json")), "manifest")
-    return read_shards(manifest, folder)
+    manifest = write_shards(documents(spark, sf_dir), folder, tokenizer_path("word_bpe_49k.json")).collect()
+    return read_shards(spark, manifest, folder)

@@ -274,8 +274,8 @@ def test_binary(spark):
     rows = long_docs()
     ws = Workspace(spark, "t")
     path = tokenizer_path("word_bpe_49k.json")
-    manifest = ws.save(binary_output.write_shards(clashing(table(spark, rows)), ws.path("shards"), path, seq_len=64), "manifest")
-    got = [tuple(r) for r in binary_output.read_shards(manifest, ws.path("shards")).orderBy("start").collect()]
+    manifest = binary_output.write_shards(clashing(table(spark, rows)), ws.path("shards"), path, seq_len=64).collect()
+    got = [tuple(r) for r in binary_output.read_shards(spark, manifest, ws.path("shards")).orderBy("start").collect()]
     tok = Tokenizer.from_file(path)
     at, ids = 0, sorted((r[0] if r[0] is not None else -1 for r in rows))
     assert [r[0] if r[0] is not None else -1 for r in got] == ids
@@ -286,11 +286,11 @@ def test_binary(spark):
         match = [a for a in left[doc_id] if len(a) == n and zlib.crc32(a.tobytes()) == crc]
         assert start == at and match
         at += n
-    name = manifest.first()["name"]
+    name = manifest[0]["name"]
     batch = next(iter(binary_output.Shard(ws.path("shards"), name).reader))
     assert batch.schema.field("ids").type == pa.list_(pa.uint16(), 64) and batch.column(1).flatten()[0].as_py()
-    empty = ws.save(binary_output.write_shards(table(spark, []), ws.path("none"), path), "none-manifest")
-    assert binary_output.read_shards(empty, ws.path("none")).count() == 0
+    empty = binary_output.write_shards(table(spark, []), ws.path("none"), path).collect()
+    assert binary_output.read_shards(spark, empty, ws.path("none")).count() == 0
 
 
 def test_quality(spark):
