@@ -190,7 +190,7 @@ def quality_codebook(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def duplicate_row_count(df: DataFrame, columns: list[str]) -> DataFrame:
     """rows, duplicates: rows beyond the first of each distinct row."""
-    groups = df.groupBy(*[S.text(df, c).alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(*[S.text(df, c).alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 

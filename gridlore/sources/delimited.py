@@ -34,6 +34,7 @@ class Table:
     delimiter: str = ","
     warnings: list[str] = field(default_factory=list)
     labels: dict[str, dict[str, str]] = field(default_factory=dict)
+    metadata: dict[str, dict] = field(default_factory=dict)
 
     def column(self, which: int | str) -> str:
         if isinstance(which, int):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .delimited import Table, open_delimited, read_head
+from .delimited import Table, read_head
 
 
 class ImportLimit(ValueError):
@@ -232,33 +232,3 @@ def open_sqlite(spark: SparkSession, path: str, table: str | None = None, limits
     table = table or _with_file(content, lambda p: sqlite_tables(p)[0])
     return _table(spark, path, lambda c: _with_file(c, lambda p: list(sqlite_rows(p, table, limits))),
                   lambda: _with_file(content, lambda p: next(sqlite_rows(p, table, limits))))
-
-
-def route(name: str, head: bytes) -> str:
-    """delimited, xlsx, sqlite, xls, sav or sas7bdat, by first bytes and extension."""
-    ending = name.rsplit(".", 1)[-1].lower()
-    if head.startswith(b"PK\x03\x04") and ending in ("xlsx", "xlsm"):
-        return "xlsx"
-    if head.startswith(b"SQLite format 3\0"):
-        return "sqlite"
-    if head.startswith(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"):
-        return "xls"
-    if head[:4] in (b"$FL2", b"$FL3"):
-        return "sav"
-    if ending == "sas7bdat":
-        return "sas7bdat"
-    return "delimited"
-
-
-def open_any(spark: SparkSession, path: str, part: str | None = None) -> Table:
-    """Open a file by its kind."""
-    kind = route(path, read_head(spark, path, 64))
-    if kind == "xlsx":
-        return open_xlsx(spark, path, part)
-    if kind == "sqlite":
-        return open_sqlite(spark, path, part)
-    if kind != "delimited":
-        raise NotImplementedError(f"{kind} files are not read yet")
-    return open_delimited(spark, path)
-
-
