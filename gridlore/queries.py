@@ -92,6 +92,13 @@ def filter_expression(spark, d):
     return df.where(FI.expression(df, 'O_TotalPrice > 100000 AND o_orderstatus == "O" or (o_orderpriority contains "urgent" and o_orderstatus != F)')).select("o_orderkey")
 
 
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000 AND o_totalprice <= 200000 AND contains(lower(o_orderpriority), 'urgent')""")
+def filter_combined(spark, d):
+    df = table(spark, d, "orders")
+    state = FI.FilterState((FI.SelectedValues("o_orderstatus", ("F",)), FI.NumericRange("o_totalprice", 1000, 200000, True)), "Urgent", "o_orderpriority")
+    return df.where(state.toggled("o_orderstatus", "O").predicate(df)).select("o_orderkey")
+
+
 @query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^[a-m].*e', 'i')")
 def search_regex(spark, d):
     df = table(spark, d, "part")
@@ -121,6 +128,11 @@ def sort_numeric(spark, d):
     return _with_rank(df, SO.sort_columns(df, [SO.SortKey("c_acctbal")], "c_custkey"), "c_custkey", "c_acctbal").select("c_custkey", "rank")
 
 
+@query("SELECT rank AS position FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS rank FROM customer) WHERE c_custkey = 42")
+def go_to_row(spark, d):
+    return SE.position_of(sort_numeric(spark, d), "c_custkey", 42, "rank")
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_brand), p_size DESC, p_partkey) - 1 AS rank FROM part")
 def sort_text_multi(spark, d):
     df = table(spark, d, "part")
@@ -165,6 +177,12 @@ def duplicate_groups(spark, d):
     return out.withColumn("rows", F.array_join(F.transform("rows", lambda x: x.cast("string")), ","))
 
 
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority, o_orderkey AS row, count(*) OVER w AS count, min(o_orderkey) OVER w AS first_row
+  FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority) QUALIFY count(*) OVER w > 1""")
+def duplicate_rows(spark, d):
+    return A.duplicate_rows(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
 @query("""SELECT count(*) AS count, round(min(l_extendedprice), 4) AS min, round(max(l_extendedprice), 4) AS max, round(avg(l_extendedprice), 4) AS mean,
   round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3,
   round(stddev_pop(l_extendedprice), 4) AS std FROM lineitem""")
@@ -205,6 +223,13 @@ def pivot_long(spark, d):
     return rounded(A.pivot(table(spark, d, "orders"), ["o_orderstatus"], ["o_orderpriority"], "o_totalprice", "mean"), 6)
 
 
+@query("""SELECT o_orderstatus AS row_key, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 0), 2) AS "1-URGENT",
+  round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW'), 0), 2) AS "5-LOW" FROM orders GROUP BY 1""")
+def pivot_wide(spark, d):
+    long = A.pivot(table(spark, d, "orders"), ["o_orderstatus"], ["o_orderpriority"], "o_totalprice", "sum")
+    return rounded(A.pivot_wide(long, ["1-URGENT", "5-LOW"]), 2)
+
+
 @query("WITH " + _PIVOT.format(r="l_returnflag", c="l_linestatus", v="sum(l_quantity)", t="(SELECT * FROM lineitem WHERE l_linenumber = 1)") + " SELECT row_key, column_key, round(value, 2) AS value FROM p")
 def pivot_filtered(spark, d):
     return rounded(A.pivot(table(spark, d, "lineitem"), ["l_returnflag"], ["l_linestatus"], "l_quantity", "sum", {"l_linenumber": "1"}), 2)
@@ -401,6 +426,18 @@ def density_grid(spark, d):
     return rounded(C.density_grid(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+  SELECT round(value, 4) AS x FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) ORDER BY value LIMIT 200""")
+def outliers(spark, d):
+    return rounded(C.outliers(table(spark, d, "events"), "value"))
+
+
+@query("SELECT CAST(p_size AS DOUBLE) AS x, round(p_retailprice, 4) AS y FROM part")
+def scatter_points(spark, d):
+    """All points up to 20,000 rows; beyond, the operator gives a density grid, which this SQL doesn't cover."""
+    return rounded(C.scatter(table(spark, d, "part"), "p_size", "p_retailprice")[1])
+
+
 @query()
 def qq(spark, d):
     return rounded(C.qq(table(spark, d, "customer"), "c_acctbal"), 6)
@@ -450,16 +487,27 @@ def quality_duplicate_rows(spark, d):
     return P.duplicate_row_count(_dirty(spark, d), ["amount", "priority", "order_id"])
 
 
-@query()
+@query(f"""WITH q AS ({ORACLE["quality_profile"]})
+  SELECT 'blankRate' AS kind, 'warning' AS severity, "column", blank AS count FROM q WHERE blank_rate
+  UNION ALL SELECT 'sentinel', 'warning', "column", sentinel FROM q WHERE has_sentinel UNION ALL SELECT 'typeValidity', 'warning', "column", invalid FROM q WHERE invalid > 0
+  UNION ALL SELECT 'keyUniqueness', 'error', "column", duplicate_keys FROM q WHERE duplicate_keys > 0
+  UNION ALL SELECT 'duplicateRows', 'info', '', duplicates FROM ({ORACLE["quality_duplicate_rows"]}) WHERE duplicates > 0""")
 def quality_issues(spark, d):
     return P.quality_issues(_dirty(spark, d), ["amount", "priority", "order_id"])
 
 
-@query()
+@query(f"""WITH q AS ({ORACLE["quality_profile"]})
+  SELECT CAST(greatest(0, least(100, round(100 - sum((blank + sentinel) / total * 20 / 3 + CASE WHEN invalid > 0 THEN least(15.0, invalid / greatest(total - blank - sentinel, 1) * 300) ELSE 0 END
+  + CASE WHEN duplicate_keys > 0 THEN 15 ELSE 0 END)))) AS INTEGER) AS score FROM q""")
 def quality_score(spark, d):
     return P.quality_score(_dirty(spark, d), ["amount", "priority", "order_id"])
 
 
+@query(f"""SELECT amount AS value, count(*) AS count FROM {_ORDERS} WHERE amount = 'oops' GROUP BY 1""")
+def override_failures(spark, d):
+    return P.override_failures(_dirty(spark, d), "amount", "Integer")
+
+
 @query("""SELECT p_partkey, CASE WHEN substr(s, 1, 1) IN ('=', '+', '-', '@') THEN '''' || s ELSE s END AS safe FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || p_name AS s FROM part)""")
 def export_sanitized(spark, d):
     from .sources.export import safe_column
