@@ -25,8 +25,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def reach_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents by their fitted rates."""
-    return mixing.resample(docs, mixing.label_domains(documents(spark, sf_dir, "labels")))
+    """Keep and repeat documents by the rates that mix their domains to the target weights."""
+    return mixing.resample(docs, mixing.label_domains(documents(spark, sf_dir, "labels")), mixing.TARGETS, weights=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,22 +8,24 @@ Method, all in DataFrame functions:
 2. Every document gets its domains' posteriors from all its words, tempered to
    ``TEMPER`` words so that long texts keep soft memberships, and its token count
    (words).  These few numbers per document are stored once.
-3. Nonnegative rates r minimise the distance of sum_i r_i t_i p_i to the targets by
-   projected gradient from r = 1, in the metric of G = sum_i t_i p_i p_i^T.  A step needs
-   one distributed sum of ``domains`` numbers.  Rates are a fold over the steps' vectors,
-   so nothing per document is stored between steps and nothing returns to the driver
-   but those sums.
-
-Targets are either weights of a total (``targets`` with ``budget`` tokens) or, by
-default, preferences: the share of its own tokens that a domain should keep
-(``PREFERENCES``), so nothing is repeated and what a preference of 1 marks stays whole.
+3. Of all nonnegative rates r with sum_i r_i t_i p_i equal to the targets, those nearest
+   to 1 are r_i = max(0, 1 - p_i . v) for one vector v, which damped Newton steps on the
+   dual find, in the metric of G = sum_i t_i p_i p_i^T over documents with a rate above 0.
+   A step needs one distributed sum of a few numbers per pair of domains, so nothing per
+   document is stored between steps and nothing returns to the driver but those sums.
+
+Targets are either weights of a total or preferences: the share of its own tokens that a
+domain should keep (``PREFERENCES``).  The query and the pipeline use weights (``TARGETS``).
+Without a budget in tokens the weights' total is the largest that the domains hold: the
+scarcest domain, relative to its weight, is taken whole; single documents of mixed
+membership may still be repeated to meet the weights.
 ``copies`` rounds a rate by the id's hash: its whole part, and one more with the
 probability of its fraction; a rate within ``SNAP`` of a whole number is that number.
 
 Defined cases: a null or blank text has no tokens, prior posteriors, and its rate; a
 document labelled twice teaches its alphabetically first domain; null labels teach
 nothing; with nothing labelled every rate is 1; a domain that no document resembles
-keeps a target of 0; a null doc_id is carried; repeated rows
+keeps a target of 0, as does one without a target; a null doc_id is carried; repeated rows
 are rated alike; an empty table gives an empty result.
 """
 
@@ -43,6 +45,7 @@ SMOOTHING = 0.5
 STEPS = 30
 CLOSE = 1e-4
 PREFERENCES = {"good": 1.0, "poor": 0.5}
+TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
 SNAP = 0.1
 
 
@@ -111,58 +114,68 @@ def posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_c
     return rows.select("doc_id", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"))
 
 
-def _rate(steps: list[np.ndarray], d: int) -> Column:
-    """r after the steps: r = max(0, r - p . v) from 1, for each vector v."""
-    if not steps:
-        return F.lit(1.0)
-    flat = numbers(np.concatenate(steps))
-    at = F.sequence(F.lit(0), F.lit(len(steps) - 1))
-
-    def step(r: Column, k: Column) -> Column:
-        dot = F.lit(0.0)
-        for j in range(d):
-            dot = dot + F.get("p", F.lit(j)) * F.get(flat, k * d + j)
-        return F.greatest(F.lit(0.0), r - dot)
-
-    return F.aggregate(at, F.lit(1.0), step)
+def _rate(v: np.ndarray) -> Column:
+    """max(0, 1 - p . v)"""
+    dot = F.lit(0.0)
+    for j, x in enumerate(v):
+        dot = dot + F.get("p", F.lit(j)) * F.lit(float(x))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - dot)
 
 
 def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None,
-              steps: int = STEPS, close: float = CLOSE) -> tuple[Column, dict]:
+              steps: int = STEPS, close: float = CLOSE, weights: bool = False) -> tuple[Column, dict]:
     """(rate column over ``soft``, report).  ``soft`` should be a stored table.
 
-    With a budget in tokens, targets are weights of it; without, preferences.
+    With ``weights`` or a budget in tokens, targets are weights of a total; else preferences.
     """
     d = len(names)
     weight = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
     if not d or not weight.sum():
         return F.lit(1.0), {"steps": 0}
     t = F.col("n_tokens").cast("double")
-    gram = soft.agg(*[F.sum(t * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    g = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[i, j] = g[j, i] = gram[f"g{i}_{j}"] or 0.0
-    natural = g.sum(1)  # posteriors sum to 1, so rows of G sum to the domains' tokens
+
+    def sums(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Reached tokens, G over rates above 0, and sum t r^2 / 2, in one pass."""
+        r = _rate(v)
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        rows = soft.select(t.alias("t"), r.alias("r"), "p").agg(
+            *[F.sum(F.expr(f"t * r * p[{j}]")).alias(f"a{j}") for j in range(d)],
+            *[F.sum(F.expr(f"CASE WHEN r > 0 THEN t * p[{i}] * p[{j}] END")).alias(f"g{i}_{j}") for i, j in pairs],
+            F.sum(F.expr("t * r * r / 2")).alias("half")).first()
+        g = np.zeros((d, d))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = rows[f"g{i}_{j}"] or 0.0
+        return np.array([rows[f"a{j}"] or 0.0 for j in range(d)]), g, rows["half"] or 0.0
+
+    v = np.zeros(d)
+    now, g, half = sums(v)
+    natural = now
     if not natural.sum():
         return F.lit(1.0), {"steps": 0}
     weight = np.where(natural > 0, weight, 0.0)
     if not weight.sum():
         return F.lit(1.0), {"steps": 0}
-    goal = natural * weight if budget is None else weight / weight.sum() * budget
+    if weights or budget is not None:
+        weight = weight / weight.sum()
+        goal = weight * (min(natural[i] / weight[i] for i in range(d) if weight[i] > 0) if budget is None else budget)
+    else:
+        goal = natural * weight
     total = goal.sum()
-    back = np.linalg.pinv(g + np.eye(d) * 1e-9 * np.trace(g))
-    done: list[np.ndarray] = []
-    now = natural
-    for _ in range(steps):
-        if np.abs(now - goal).max() <= close * total:
-            break
-        done.append(back @ (now - goal))
-        rate = _rate(done, d)
-        got = soft.select((rate * t).alias("rt"), "p").agg(*[F.sum(F.col("rt") * F.get("p", F.lit(j))).alias(f"a{j}") for j in range(d)]).first()
-        now = np.array([got[f"a{j}"] or 0.0 for j in range(d)])
-    return _rate(done, d), {"steps": len(done), "goal": dict(zip(names, goal.tolist(), strict=True)),
-                            "reached": dict(zip(names, now.tolist(), strict=True))}
+    ridge = np.eye(d) * 1e-9 * np.trace(g)
+    done, height = 0, half
+    while done < steps and np.abs(now - goal).max() > close * total:
+        way = np.linalg.solve(g + ridge, now - goal)
+        slope, size = -(now - goal) @ way, 1.0
+        while done < steps:
+            done += 1
+            now, g, half = sums(v + size * way)
+            if half + (v + size * way) @ goal <= height + 1e-4 * size * slope + 1e-12 * abs(height):
+                break
+            size /= 2
+        v = v + size * way
+        height = half + v @ goal
+    return _rate(v), {"steps": done, "goal": dict(zip(names, goal.tolist(), strict=True)),
+                      "reached": dict(zip(names, now.tolist(), strict=True))}
 
 
 def copies(rate: Column, id_col: Column) -> Column:
@@ -174,7 +187,7 @@ def copies(rate: Column, id_col: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, id_col: str = "doc_id", text_col: str = "text",
-        domain_col: str = "domain", budget: float | None = None) -> tuple[DataFrame, list[str]]:
+        domain_col: str = "domain", budget: float | None = None, weights: bool = False) -> tuple[DataFrame, list[str]]:
     """((doc_id, n_tokens, p, rate, copies) of every row, domain names)."""
     ws = Workspace(docs.sparkSession, "mixing")
     domains = learn_domains(docs, labelled, id_col, text_col, domain_col)
@@ -182,17 +195,21 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFER
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens"))
         return plain.select("*", F.expr("cast(array() as array<double>)").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), []
     soft = ws.save(posteriors(docs, domains, id_col, text_col), "soft")
-    rate, _ = fit_rates(soft, domains.names, targets, budget)
+    rate, _ = fit_rates(soft, domains.names, targets, budget, weights=weights)
     out = soft.select("*", rate.alias("rate"))
     return out.select("*", copies(F.col("rate"), F.col("doc_id")).alias("copies")), domains.names
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) of a table of quality marks: 1 good, 0 poor."""
-    return labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
+    """(doc_id, domain) of a table of marks: toxic where there is such a mark, else by quality, 1 good, 0 poor."""
+    domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    if "toxic" in labels.columns:
+        domain = F.when(F.col("toxic") == 1, "toxic").otherwise(domain)
+    return labels.select("doc_id", domain.alias("domain"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, budget: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, budget: float | None = None,
+             weights: bool = False) -> DataFrame:
     """``docs`` with each row kept as many times as its ``copies``; rows with a null id once.
 
     Ids to drop are few when the budget is the default; they are removed like
@@ -200,7 +217,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = P
     """
     from .common import without
 
-    rated, _ = mix(docs, labelled, targets, budget=budget)
+    rated, _ = mix(docs, labelled, targets, budget=budget, weights=weights)
     ws = Workspace(docs.sparkSession, "resample")
     decided = ws.save(rated.where("doc_id IS NOT NULL AND copies <> 1").groupBy("doc_id").agg(F.max("copies").alias("copies")), "decided")
     once = without(docs, decided.select("doc_id"))
@@ -212,6 +229,6 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = P
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, names = mix(documents(spark, sf_dir), label_domains(documents(spark, sf_dir, "labels")))
+    rated, names = mix(documents(spark, sf_dir), label_domains(documents(spark, sf_dir, "labels")), TARGETS, weights=True)
     shares = [F.get("p", F.lit(i)).alias(f"p_{x}") for i, x in enumerate(names)]
     return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")

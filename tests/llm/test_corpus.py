@@ -188,6 +188,24 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, []), mixing.label_domains(labels))[0].count() == 0
 
 
+def mixed_corpus(spark):
+    texts = ["plain words of prose here and there", "win!!! cash$$$ now!!! click###", "vile hateful insult slur scorn"]
+    kind = [0 if i % 10 < 4 else 1 if i % 10 < 9 else 2 for i in range(1000)]  # half poor, a tenth toxic
+    docs = table(spark, [(i, texts[k] + " w%d" % i) for i, k in enumerate(kind)])
+    return docs, spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kind)], "doc_id long, quality int, toxic int")
+
+
+def test_mixing_weights(spark, tmp_path):
+    docs, labels = mixed_corpus(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = mixing.op4(spark, str(tmp_path)).collect()
+    got = {x: sum(r["n_tokens"] * r["p_" + x] * r["rate"] for r in rows) for x in mixing.TARGETS}
+    assert {x: n / sum(got.values()) for x, n in got.items()} == pytest.approx(mixing.TARGETS, abs=1e-3)
+    labelled = mixing.label_domains(labels)
+    assert {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()} == {"good": 400, "poor": 500, "toxic": 100}
+
+
 def test_quotes(spark):
     messages = [(1, 0, "u", "Hello there.\n\nSecond paragraph"), (1, 1, "a", "> Hello   THERE.\nHi!"), (1, 2, "u", "new topic"),
                 (1, 3, "a", "On Monday u wrote:\n>> second paragraph\n> older\nReply to it\n> new topic"), (2, 5, "u", "> new topic\nelsewhere"),
