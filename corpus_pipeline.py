@@ -15,13 +15,13 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal documents, one stays."""
-    return exact_dedup.drop_copies(docs)
+    """Of equal documents, one row stays."""
+    return exact_dedup.unique_rows(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8), one stays."""
-    return jaccard_join.one_of_each(docs, width=5, threshold=80)
+    """Of each group of near-duplicates (five words, 0.8), one row stays."""
+    return jaccard_join.one_row_of_each(docs, width=5, threshold=80)
 
 
 def reach_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,6 +120,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """``docs`` stored with a number of its own for each row (``__row``), to decide by row where ids are null or repeated."""
+    return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def without(docs: DataFrame, out: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``out`` (doc_id); null ids stay.
 

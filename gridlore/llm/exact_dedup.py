@@ -21,18 +21,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, without
+from .common import Workspace, documents, numbered, without
 
 BLANKS = r"[\x20\x09-\x0D]"
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_code_points) of every row; digest is the binary SHA-256."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *further: str) -> DataFrame:
+    """(doc_id, digest, n_code_points, further columns) of every row; digest is the binary SHA-256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)).alias("digest"),
         F.length(text).alias("n_code_points"),
+        *further,
     )
 
 
@@ -103,6 +104,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return without(docs, exact_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"), id_col)
 
 
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of ``docs`` per digest, whatever the ids: most code points, then smallest id, null last."""
+    ws = Workspace(docs.sparkSession, "unique")
+    rows = numbered(ws, docs)
+    keys = ws.save(digests(rows.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text", "__row"), "keys")
+    first = F.min(F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), "doc_id", "__row"))
+    best = ws.save(keys.groupBy("digest").agg(first["__row"].alias("best")), "best")
+    out = keys.join(best, "digest").where(F.col("__row") != F.col("best")).select(F.col("__row").alias("doc_id"))
+    return without(rows, out, "__row").drop("__row")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

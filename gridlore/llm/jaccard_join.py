@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, ROWS_A_FILE, Workspace, connected_components, documents, shuffle_partitions, without
+from .common import BROADCAST_IDS, ROWS_A_FILE, Workspace, connected_components, documents, numbered, shuffle_partitions, without
 from .shingles import mix, shingle_sets, text_blocks
 
 WIDTH = 4
@@ -519,5 +519,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return without(docs, out, id_col)
 
 
+def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Exactly one row of ``docs`` per component of rows, whatever the ids: the smallest id, null last."""
+    ws = Workspace(docs.sparkSession, "rows")
+    rows = numbered(ws, docs)
+    member = jaccard_components(rows, "__row", text_col, **how).select(F.col("doc_id").alias("__row"), "component_id")
+    member = member.join(rows.select("__row", F.col(id_col).cast("long").alias("id")), "__row")
+    member = ws.save(member, "member")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "__row"))
+    best = ws.save(member.groupBy("component_id").agg(first["__row"].alias("best")), "best")
+    out = member.join(best, "component_id").where(F.col("__row") != F.col("best")).select(F.col("__row").alias("doc_id"))
+    return without(rows, out, "__row").drop("__row")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

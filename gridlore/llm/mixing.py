@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, documents, numbered, without
 
 BUCKETS = 4096
 MAX_TRAIN_ROWS = 4000
@@ -94,11 +94,11 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     return Domains(names, prior, log - log[:1])
 
 
-def posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p): p holds one number per domain, which sum to 1."""
+def posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_col: str = "text", *further: str) -> DataFrame:
+    """(doc_id, n_tokens, p, further columns): p holds one number per domain, which sum to 1."""
     buckets = domains.weights.shape[1]
     found = F.transform(words(F.col(text_col)), lambda w: _bucket(w, buckets))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("b"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("b"), *further)
     n = F.size("b")
     cut = F.least(F.lit(1.0), F.lit(TEMPER) / F.greatest(n, F.lit(1)))
 
@@ -108,10 +108,10 @@ def posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_c
 
     odds = [F.lit(0.0), *(total(w) for w in domains.weights[1:])]
     odds = [o + F.lit(float(p)) for o, p in zip(odds, domains.prior, strict=True)]
-    rows = rows.select("doc_id", n.cast("long").alias("n_tokens"), F.array(*odds).alias("o"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_tokens"), F.array(*odds).alias("o"), *further)
     parts = F.transform("o", lambda x: F.exp(x - F.array_max("o")))
-    rows = rows.select("doc_id", "n_tokens", parts.alias("e"))
-    return rows.select("doc_id", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"))
+    rows = rows.select("doc_id", "n_tokens", parts.alias("e"), *further)
+    return rows.select("doc_id", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"), *further)
 
 
 def _rate(v: np.ndarray) -> Column:
@@ -187,14 +187,14 @@ def copies(rate: Column, id_col: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, id_col: str = "doc_id", text_col: str = "text",
-        domain_col: str = "domain", budget: float | None = None, weights: bool = False) -> tuple[DataFrame, list[str]]:
-    """((doc_id, n_tokens, p, rate, copies) of every row, domain names)."""
+        domain_col: str = "domain", budget: float | None = None, weights: bool = False, *further: str) -> tuple[DataFrame, list[str]]:
+    """((doc_id, n_tokens, p, further columns, rate, copies) of every row, domain names)."""
     ws = Workspace(docs.sparkSession, "mixing")
     domains = learn_domains(docs, labelled, id_col, text_col, domain_col)
     if not domains.names:
-        plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens"))
+        plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens"), *further)
         return plain.select("*", F.expr("cast(array() as array<double>)").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), []
-    soft = ws.save(posteriors(docs, domains, id_col, text_col), "soft")
+    soft = ws.save(posteriors(docs, domains, id_col, text_col, *further), "soft")
     rate, _ = fit_rates(soft, domains.names, targets, budget, weights=weights)
     out = soft.select("*", rate.alias("rate"))
     return out.select("*", copies(F.col("rate"), F.col("doc_id")).alias("copies")), domains.names
@@ -210,22 +210,17 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, budget: float | None = None,
              weights: bool = False) -> DataFrame:
-    """``docs`` with each row kept as many times as its ``copies``; rows with a null id once.
-
-    Ids to drop are few when the budget is the default; they are removed like
-    duplicates, and repeated ones come from a join of their own.
-    """
-    from .common import without
-
-    rated, _ = mix(docs, labelled, targets, budget=budget, weights=weights)
+    """``docs`` with each row kept as many times as its ``copies``, decided by row: ids may be null or repeated."""
     ws = Workspace(docs.sparkSession, "resample")
-    decided = ws.save(rated.where("doc_id IS NOT NULL AND copies <> 1").groupBy("doc_id").agg(F.max("copies").alias("copies")), "decided")
-    once = without(docs, decided.select("doc_id"))
+    rows = numbered(ws, docs)
+    rated, _ = mix(rows, labelled, targets, "doc_id", "text", "domain", budget, weights, "__row")
+    decided = ws.save(rated.where("copies <> 1").select("__row", "copies"), "decided")
+    once = without(rows, decided.select(F.col("__row").alias("doc_id")), "__row").drop("__row")
     again = decided.where("copies > 1")
     if again.isEmpty():
         return once
-    again = again.select(F.col("doc_id").alias("__again"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return once.unionByName(docs.join(again, docs["doc_id"] == again["__again"]).drop("__again", "__copy"))
+    again = again.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
+    return once.unionByName(rows.join(again, "__row").drop("__row", "__copy"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

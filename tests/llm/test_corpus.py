@@ -352,6 +352,27 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["exact_dedup", "ngram_jaccard_join"])
+def test_stages_decide_by_row(spark, stage):
+    same, other, third = "one two three four five six seven", "quite different words stand in here now", "a third text that nothing else resembles at all"
+    rows = [(None, same), (None, same), (4, same), (4, same), (2, same), (3, other), (4, third), (None, "alone with a null id and text"), (None, None)]
+    docs = clashing(table(spark, rows).repartition(3))
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(str, (tuple(r)[:2] for r in out.collect()))) == sorted(map(str, [(2, same), *rows[5:]]))
+
+
+def test_resample_decides_by_row(spark):
+    docs, labels = mixed_corpus(spark)
+    from pyspark.sql import functions as F
+
+    nulls = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    out = mixing.resample(nulls, mixing.label_domains(labels), mixing.TARGETS, weights=True)
+    assert out.columns == docs.columns
+    left = {r["n"]: r["count"] for r in out.where("text LIKE 'win%'").groupBy(F.col("doc_id").isNull().alias("n")).count().collect()}
+    assert left.get(True, 0) < 150  # of 500
+
+
 @needs_data
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
