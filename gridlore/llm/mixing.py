@@ -19,8 +19,8 @@ domain should keep (``PREFERENCES``).  The query and the pipeline use weights (`
 Without a budget in tokens the weights' total is the largest that the domains hold: the
 scarcest domain, relative to its weight, is taken whole; single documents of mixed
 membership may still be repeated to meet the weights.
-``copies`` rounds a rate by the id's hash: its whole part, and one more with the
-probability of its fraction; a rate within ``SNAP`` of a whole number is that number.
+``copies`` rounds a rate by the hash of id and text: its whole part, and one more with the
+probability of its fraction; only within ``NOISE`` is a rate taken for a whole number.
 
 Defined cases: a null or blank text has no tokens, prior posteriors, and its rate; a
 document labelled twice teaches its alphabetically first domain; null labels teach
@@ -46,7 +46,7 @@ STEPS = 30
 CLOSE = 1e-4
 PREFERENCES = {"good": 1.0, "poor": 0.5}
 TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
-SNAP = 0.1
+NOISE = 1e-6
 
 
 def words(text: Column) -> Column:
@@ -178,12 +178,12 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], budg
                       "reached": dict(zip(names, now.tolist(), strict=True))}
 
 
-def copies(rate: Column, id_col: Column) -> Column:
-    """A rate as a whole number, by the hash of the id."""
-    place = F.pmod(F.xxhash64(id_col, F.lit(44)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    part = rate - F.floor(rate)
-    more = F.when(part <= SNAP, 0).when(part >= 1 - SNAP, 1).when(place < part, 1).otherwise(0)
-    return (F.floor(rate) + more).cast("int")
+def copies(rate: Column, draw: Column) -> Column:
+    """A rate as a whole number, by a hash."""
+    place = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    whole = F.floor(rate + NOISE)
+    part = rate - whole
+    return (whole + F.when((part > NOISE) & (place < part), 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, id_col: str = "doc_id", text_col: str = "text",
@@ -194,10 +194,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFER
     if not domains.names:
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens"), *further)
         return plain.select("*", F.expr("cast(array() as array<double>)").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), []
-    soft = ws.save(posteriors(docs, domains, id_col, text_col, *further), "soft")
+    soft = ws.save(posteriors(docs.withColumn("__draw", F.xxhash64(F.col(id_col).cast("long"), text_col, F.lit(44))), domains, id_col, text_col, *further, "__draw"), "soft")
     rate, _ = fit_rates(soft, domains.names, targets, budget, weights=weights)
     out = soft.select("*", rate.alias("rate"))
-    return out.select("*", copies(F.col("rate"), F.col("doc_id")).alias("copies")), domains.names
+    return out.withColumn("copies", copies(F.col("rate"), F.col("__draw"))).drop("__draw"), domains.names
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -362,6 +362,15 @@ def test_stages_decide_by_row(spark, stage):
     assert sorted(map(str, (tuple(r)[:2] for r in out.collect()))) == sorted(map(str, [(2, same), *rows[5:]]))
 
 
+def test_copies_reach_the_totals(spark):
+    docs, labels = mixed_corpus(spark)
+    for budget in (600.0, 3000.0):  # a tenth and half of the corpus, a little less
+        rated, names = mixing.mix(docs, mixing.label_domains(labels), {"good": 2, "poor": 1}, budget=budget, weights=True)
+        rows = rated.collect()
+        got = [sum(r["n_tokens"] * r["p"][names.index(x)] * r["copies"] for r in rows) for x in ("good", "poor")]
+        assert got == pytest.approx([budget * 2 / 3, budget / 3], rel=0.25)
+
+
 def test_resample_decides_by_row(spark):
     docs, labels = mixed_corpus(spark)
     from pyspark.sql import functions as F
