@@ -43,6 +43,22 @@ class Rule:
     base: bool = True
 
 
+#: Lengths of the countries' account numbers.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+                30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """A country's own length if it fits, else any length, which may run on into later words."""
+    def groups(n: int) -> str:
+        return r"(?:\x20?[A-Z0-9]{4}){%d}" % (n // 4) + (r"\x20?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")
+
+    own = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{groups(n - 4)}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?:{own}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+
+
 NEAR_SCORE = 0.3
 RULES = (
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -53,8 +69,7 @@ RULES = (
     # [0-9]([\x20-]?[0-9])+
     Rule("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9](?:[\x20-]?+[0-9]){11}", 0.3, 0.4, "card|visa|credit|payment"),
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, 0.0, "phone|call|tel|mobile|fax"),
-    Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-         r"[A-Z]{2}[0-9]{2}", 0.1, 0.5, "iban|bank|account|transfer", False),
+    Rule("iban", _iban_pattern(), r"[A-Z]{2}[0-9]{2}", 0.1, 0.5, "iban|bank|account|transfer", False),
     Rule("national_id", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
          0.3, 0.0, "ssn|social|security|national", False),
 )
@@ -94,6 +109,13 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def longest_account(match: Column) -> Column:
+    """The longest run of whole groups from the match's start that is an IBAN, else the match."""
+    groups = F.split(match, "\x20")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    return F.coalesce(F.get(F.filter(runs, lambda r: _valid("iban", r)), F.lit(0)), match)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, kind, end, text, score>> of one rule's confirmed spans."""
     parts = F.split(text, rule.pattern, -1)
@@ -109,6 +131,9 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     empty = F.expr("cast(struct(0, array()) as struct<at:int,out:array<struct<start:int,hit:string>>>)")
     placed = F.aggregate(pairs, empty, step)["out"]
 
+    if rule.kind == "iban":
+        placed = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), longest_account(x["hit"]).alias("hit")))
+
     def finish(x: Column) -> Column:
         end = x["start"] + F.length(x["hit"])
         before = F.greatest(x["start"] - NEAR, F.lit(0))
