@@ -2,12 +2,14 @@ r"""Chat formatting (5): quotation linking.
 
 Method: the lines of a message are parsed for quote marks (``>``, nested by
 repetition).  Runs of lines of one level are passages; a line such as ``On ... wrote:``
-before a passage is its attribution and goes with it.  Passages and every message's own
-words are normalised (lower case, blanks collapsed) and hashed; passages join the
-messages whose whole text, or one of whose own paragraphs, has that hash.  A message
-replies to the message that its first linked level-1 passage quotes: one of the same
-conversation before it if there is any (the latest), else the first such message in the
-corpus.  Without a link it replies to the previous turn.  Reply chains are
+before a deeper level is that passage's attribution and goes with it.  Passages and every
+message's own words are cut in wholes, paragraphs and lines (blank ones are left out),
+normalised (lower case, blanks collapsed) and hashed; a passage links by its whole, else
+by its paragraphs, else by its lines, to a message with a whole, paragraph or line of that
+hash: one of the same conversation before it if there is any, else the first such message
+of another conversation.  Where pieces of a passage lead to several messages, the one with
+most of its characters is taken, then the latest (in the corpus: the first).  A message
+replies to the message that its first linked level-1 passage quotes.  Without a link it replies to the previous turn.  Reply chains are
 followed by pointer doubling, and each conversation is returned in reply order:
 thread by thread (``root_turn``), by depth, then by turn, with quotes removed.
 
@@ -46,8 +48,14 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _hash(text: Column) -> Column:
-    return F.unhex(F.sha2(normalise(text).cast("binary"), 256))
+def pieces(text: Column) -> Column:
+    """array<struct<grain, size, h>>: hashes of the whole (0), each paragraph (1) and each line (2) that isn't blank."""
+    def cut(parts: Column, grain: int) -> Column:
+        plain = F.array_distinct(F.filter(F.transform(parts, normalise), lambda x: x != ""))
+        return F.transform(plain, lambda x: F.struct(F.lit(grain).alias("grain"), F.length(x).cast("long").alias("size"),
+                                                     F.unhex(F.sha2(x.cast("binary"), 256)).alias("h")))
+
+    return F.concat(cut(F.array(text), 0), cut(F.split(text, "\n[ \t]*\n"), 1), cut(F.split(text, "\n"), 2))
 
 
 def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -57,11 +65,14 @@ def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
                            F.col(role_col).alias("role"), lines_of(F.col(text_col)).alias("lines"))
     n = F.size("lines")
 
+    def attribution(x: Column, i: Column) -> Column:
+        return (i + 1 < n) & F.coalesce(F.get("lines", i + 1)["level"] > x["level"], F.lit(False)) & x["line"].rlike(ATTRIBUTION)
+
     def own(x: Column, i: Column) -> Column:
-        before_quote = (i + 1 < n) & (F.get("lines", i + 1)["level"] > 0)
-        return (x["level"] == 0) & ~(before_quote & x["line"].rlike(ATTRIBUTION))
+        return (x["level"] == 0) & ~attribution(x, i)
 
     body = F.trim(F.array_join(F.transform(F.filter("lines", own), lambda x: x["line"]), "\n"))
+    said = F.filter("lines", lambda x, i: (x["level"] == 0) | ~attribution(x, i))
 
     # runs of one level: quoted lines are joined in one string and cut where the level changes
     def glue(acc: Column, x: Column) -> Column:
@@ -76,7 +87,7 @@ def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     start = F.expr("cast(struct(0, array()) as struct<level:int,out:array<struct<level:int,text:string>>>)")
     quoted = F.exists("lines", lambda x: x["level"] > 0)
     none = F.expr("cast(array() as array<struct<level:int,text:string>>)")
-    passages = F.when(quoted, F.aggregate("lines", start, glue)["out"]).otherwise(none)
+    passages = F.when(quoted, F.aggregate(said, start, glue)["out"]).otherwise(none)
     return rows.select("conv_id", "turn", "role", body.alias("body"), passages.alias("passages"))
 
 
@@ -90,22 +101,30 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     once = ws.save(once.select("conv_id", "turn", "m.body", "m.passages"), "once")
 
     quotes = once.select("conv_id", "turn", F.posexplode("passages").alias("place", "q"))
-    quotes = ws.save(quotes.select("conv_id", "turn", "place", F.col("q.level").alias("level"), _hash(F.col("q.text")).alias("h")), "quotes")
-    wanted = ws.save(quotes.select("h").distinct(), "wanted")
-    paragraphs = F.array_distinct(F.concat(F.array("body"), F.split("body", "\n[ \t]*\n"), F.split("body", "\n")))
-    original = once.where("body <> ''").select("conv_id", "turn", F.explode(F.transform(paragraphs, _hash)).alias("h"))
+    quotes = ws.save(quotes.select("conv_id", "turn", "place", F.col("q.level").alias("level"), pieces(F.col("q.text")).alias("pieces")), "quotes")
+    parts = ws.save(quotes.select("conv_id", "turn", "place", F.inline("pieces")).groupBy("conv_id", "turn", "place", "h").agg(
+        F.min("grain").alias("grain"), F.max("size").alias("size")), "parts")
+    wanted = ws.save(parts.select("h").distinct(), "wanted")
+    original = once.where("body <> ''").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(pieces(F.col("body")), lambda x: x["h"]))).alias("h"))
     original = ws.save(original.join(wanted, "h", "left_semi"), "original") if not wanted.isEmpty() else \
         ws.save(original.where("false"), "original")
-    # the latest earlier message of the same conversation, else the corpus's first
-    near = quotes.alias("q").join(original.alias("o"), (F.col("q.h") == F.col("o.h")) & (F.col("q.conv_id") == F.col("o.conv_id"))
-                                  & (F.col("o.turn") < F.col("q.turn")))
-    near = near.groupBy("q.conv_id", "q.turn", "q.place").agg(F.max("o.turn").alias("near_turn"))
-    far = ws.save(original.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "far")
-    linked = quotes.join(near, ["conv_id", "turn", "place"], "left").join(far, "h", "left")
-    own = (F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))
-    to = F.when(F.col("near_turn").isNotNull(), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(
-        F.col("first").isNotNull() & ~own, F.col("first"))
-    linked = linked.select("conv_id", "turn", "place", "level", to.alias("to"))
+    # earlier messages of the same conversation
+    near = parts.alias("q").join(original.alias("o"), (F.col("q.h") == F.col("o.h")) & (F.col("q.conv_id") == F.col("o.conv_id"))
+                                 & (F.col("o.turn") < F.col("q.turn")))
+    near = near.groupBy("q.conv_id", "q.turn", "q.place", "q.grain", F.col("o.turn").alias("to_turn")).agg(F.sum("q.size").alias("size"))
+    near = near.select("conv_id", "turn", "place", F.struct("grain", F.lit(0).alias("far"), (-F.col("size")).alias("size"), F.lit(0).cast("long").alias("c"),
+                       (-F.col("to_turn")).alias("t"), F.struct("conv_id", F.col("to_turn").alias("turn")).alias("to")).alias("rank"))
+    # the corpus's first message, and the first of any other conversation for quotes of that one
+    firsts = ws.save(original.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "firsts")
+    seconds = original.join(firsts, "h").where("conv_id <> first.conv_id").groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    far = ws.save(firsts.join(ws.save(seconds, "seconds"), "h", "left"), "far")
+    far = parts.join(far, "h").select("conv_id", "turn", "place", "grain", "size",
+                                      F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first")).alias("to"))
+    far = far.where("to IS NOT NULL").groupBy("conv_id", "turn", "place", "grain", "to").agg(F.sum("size").alias("size"))
+    far = far.select("conv_id", "turn", "place", F.struct("grain", F.lit(1).alias("far"), (-F.col("size")).alias("size"), F.col("to.conv_id").alias("c"),
+                     F.col("to.turn").alias("t"), "to").alias("rank"))
+    chosen = ws.save(near.unionByName(far).groupBy("conv_id", "turn", "place").agg(F.min("rank").alias("rank")), "chosen")
+    linked = quotes.join(chosen, ["conv_id", "turn", "place"], "left").select("conv_id", "turn", "place", "level", F.col("rank.to").alias("to"))
     best = F.min(F.when(F.col("to").isNotNull(), F.struct("level", "place", "to"))).alias("best")
     links = linked.groupBy("conv_id", "turn").agg(best, F.count(F.lit(1)).alias("n_quotes"), F.count("to").alias("n_linked"))
     links = ws.save(links.select("conv_id", "turn", F.col("best.to").alias("to"), "n_quotes", "n_linked"), "links")

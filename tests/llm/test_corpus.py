@@ -235,6 +235,19 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.where("false")).count() == 0
 
 
+def test_quotes_of_passages(spark):
+    messages = [(1, 0, "u", "The original question"), (1, 1, "a", "Sounds good."), (1, 2, "u", "> Sounds good.\n> On Monday X wrote:\n>> the original question\nThen let us go"),
+                (2, 0, "u", "First line\nsecond line\nthird line\n\nParagraph two\n\nParagraph three\n\nEnd"), (2, 1, "a", "Third line"),
+                (2, 2, "a", "> second line\n> third line\nyes"), (2, 3, "u", "> Paragraph two\n>\n> Paragraph three\nwell"),
+                (3, 0, "u", "> shared words\nnow"), (3, 1, "u", "shared words"), (4, 7, "u", "shared words"), (5, 0, "u", ">\nx"), (5, 1, "u", "a\n\nb")]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["parent_conv"], r["parent_turn"]) for r in quotes.link_quotes(df).collect()}
+    assert got[1, 2] == (2, 2, 1, 1)  # not the grandparent
+    assert got[2, 2] == (1, 1, 2, 0) and got[2, 3] == (1, 1, 2, 0)
+    assert got[3, 0] == (1, 1, 4, 7)  # the first is a later turn of its own conversation
+    assert got[5, 0][:2] == (1, 0)
+
+
 def test_exact(spark):
     rows = [(1, "a b"), (2, "ab "), (3, "a\tb\n"), (4, None), (5, ""), (6, " "), (7, "ab "), (2, "ab "), (None, "zz"), (8, "zz")]
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(clashing(table(spark, rows))).collect()), key=str)
