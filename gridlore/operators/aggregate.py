@@ -129,10 +129,11 @@ def pivot_totals(long: DataFrame) -> DataFrame:
     return by_row.unionByName(by_column).unionByName(grand)
 
 
-def pivot_filter_values(df: DataFrame, column: str, order: str, unit: str | None = None, row_limit: int = 50_000, limit: int = 500) -> DataFrame:
-    """Keys offered as filters: those in the first rows of the view, in text order."""
-    head = df.orderBy(order).limit(row_limit)
-    return head.select(pivot_key(head, column, unit).alias("value")).distinct().orderBy("value").limit(limit)
+def pivot_filter_values(df: DataFrame, column: str, order: str, unit: str | None = None, row_limit: int | None = 50_000, limit: int | None = 500) -> DataFrame:
+    """Keys offered as filters: those in the first rows of the view, or in all rows without a limit, in text order."""
+    head = df if row_limit is None else df.orderBy(order).limit(row_limit)
+    values = head.select(pivot_key(head, column, unit).alias("value")).distinct().orderBy("value")
+    return values if limit is None else values.limit(limit)
 
 
 def frequency(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:

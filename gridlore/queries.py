@@ -274,6 +274,25 @@ def column_statistics(spark, d):
     return rounded(out, 2, mean=6, median=6, std=6)
 
 
+@query("""SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS value FROM orders ORDER BY 1""")
+def pivot_filter_values_whole(spark, d):
+    return A.pivot_filter_values(table(spark, d, "orders"), "o_orderdate", "o_orderkey", "month", row_limit=None, limit=None)
+
+
+@query("""WITH s AS (SELECT * FROM customer)
+  SELECT 0::BIGINT AS slot, 'c_name' AS "column", CASE WHEN count(DISTINCT c_name) <= greatest(20, floor(count(*) / 2)) THEN 'Categorical' ELSE 'String' END AS type, 0::BIGINT AS null_count, count(*) AS non_null_count, count(DISTINCT c_name) AS unique_count,
+  NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::DOUBLE AS std FROM s
+  UNION ALL SELECT 1, 'c_mktsegment', 'Categorical', 0, count(*), count(DISTINCT c_mktsegment), NULL, NULL, NULL, NULL, NULL FROM s
+  UNION ALL SELECT 2, 'c_nationkey', 'Integer', 0, count(*), count(DISTINCT c_nationkey), min(c_nationkey), max(c_nationkey), round(avg(c_nationkey), 6),
+  round(quantile_cont(c_nationkey::DOUBLE, 0.5), 6), round(stddev_pop(c_nationkey), 6) FROM s
+  UNION ALL SELECT 3, 'c_acctbal', 'Float', 0, count(*), count(DISTINCT c_acctbal), round(min(c_acctbal), 2), round(max(c_acctbal), 2), round(avg(c_acctbal), 6),
+  round(quantile_cont(c_acctbal, 0.5), 6), round(stddev_pop(c_acctbal), 6) FROM s""")
+def column_statistics_whole(spark, d):
+    df = table(spark, d, "customer")
+    out = P.column_statistics(df, ["c_name", "c_mktsegment", "c_nationkey", "c_acctbal"], "c_custkey", sample=None)
+    return rounded(out, 2, mean=6, median=6, std=6)
+
+
 @query("""WITH c AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS value, count(*) AS count FROM customer GROUP BY 2
   UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY 2),
   r AS (SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY count DESC, lower(value), value) AS rank, value, count FROM c)

@@ -171,6 +171,16 @@ def test_sorting(spark):
     assert [r["p"] for r in SO.positions(big, ["_row"], "p").orderBy("_row").collect()] == list(range(100))
 
 
+def test_whole_table_queries(spark, tmp_path):
+    from gridlore.queries import QUERIES
+
+    spark.range(50_100).selectExpr("id AS o_orderkey", "date_add(DATE'2020-01-01', CAST(if(id < 50000, 0, 400) AS int)) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(6000).selectExpr("id AS c_custkey", "'n' || id AS c_name", "'s' AS c_mktsegment", "id AS c_nationkey", "id / 4 AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r["value"] for r in QUERIES["pivot_filter_values_whole"](spark, str(tmp_path)).collect()] == ["2020-01", "2021-02"]
+    got = {r["column"]: r for r in QUERIES["column_statistics_whole"](spark, str(tmp_path)).collect()}
+    assert got["c_name"]["unique_count"] == 6000 and got["c_nationkey"]["max"] == 5999
+
+
 def test_column_statistics(spark):
     df = frame(spark, ["id", "age", "score", "enrolled", "visit", "site"], [
         ("1", "42", "10.5", "true", "2026-01-02", "A"), ("2", "", "11.5", "false", "2026-01-03", "A"),
