@@ -2,8 +2,8 @@
 
 Each shard is one Arrow IPC stream: record batches of ``ids``
 (fixed_size_list<uint16|uint32>[seq_len]) and ``mask`` (fixed_size_list<bool>),
-so that sequence k of a shard sits at a computed place and is read without a
-copy.  Beside it lies an index stream (doc_id, start, n_tokens within the shard).
+so that sequence k of a shard sits at a computed place in its batch and is read
+without a copy of others.  Beside it lies an index stream (doc_id, start, n_tokens within the shard).
 Documents are range-partitioned by doc_id and sorted, so shard order is doc_id
 order; the ids of one shard are one run, padded only in its last sequence.
 
@@ -19,6 +19,7 @@ an empty table gives no shards and an empty result; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ class ShardWriter:
 
 
 class Shard:
-    """A shard read back; ids of any range without copying other sequences."""
+    """A shard read back: in one pass by ``batches``, or any sequence by ``sequence``; use one of the two on a shard."""
 
     def __init__(self, folder: str, name: str):
         store, path = _store(folder)
@@ -88,6 +89,7 @@ class Shard:
         source = pa.memory_map(local) if store.type_name == "local" else store.open_input_file(local)
         self.reader = pa.ipc.open_stream(source)
         self.seq_len = self.reader.schema.field("ids").type.list_size
+        self.parts: list[pa.RecordBatch] | None = None
 
     def batches(self):
         """Runs of the shard's ids as numpy arrays, without the padding."""
@@ -96,6 +98,18 @@ class Shard:
             mask = batch.column(1).flatten()
             yield ids[: mask.true_count]
 
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, padding mask) of sequence k: views of the mapped file, where it is local."""
+        if self.parts is None:  # the headers of all batches, once; their buffers stay in the file
+            self.parts, self.ends = list(self.reader), []
+            for batch in self.parts:
+                self.ends.append(batch.num_rows + (self.ends[-1] if self.ends else 0))
+        if not 0 <= k < (self.ends[-1] if self.ends else 0):
+            raise IndexError(k)
+        i = bisect_right(self.ends, k)
+        batch = self.parts[i].slice(k - (self.ends[i] - self.parts[i].num_rows), 1)
+        return batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten()
+
 
 def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID, seq_len: int = SEQ_LEN, dtype: str = "<u2") -> DataFrame:

@@ -337,6 +337,22 @@ def test_binary(spark):
     assert binary_output.read_shards(spark, empty, ws.path("none")).count() == 0
 
 
+def test_sequence(spark, tmp_path):
+    ids = np.arange(1, 1501, dtype="<u2")
+    with pa.OSFile(f"{tmp_path}/s.arrow", "wb") as sink:
+        out = binary_output.ShardWriter(sink, "<u2", 2)
+        for part in np.split(ids, [3, 1400]):  # a batch of more than 512 sequences, and a last one
+            out.add(part.tobytes())
+        out.add(b"\7\0")
+        out.close()
+    shard, want = binary_output.Shard(str(tmp_path), "s"), np.append(ids, [7, 0])
+    for k in (750, 0, 699, 700, 701, 1):
+        got, mask = shard.sequence(k)
+        assert got.tolist() == want[2 * k:2 * k + 2].tolist() and mask.to_pylist() == [True, k < 750] and not got.flags.owndata
+    with pytest.raises(IndexError):
+        shard.sequence(751)
+
+
 def test_quality(spark):
     rng = random.Random(8)
 
