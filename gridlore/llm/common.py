@@ -2,7 +2,8 @@
 
 Intermediate tables go to the folder in ``spark.checkpoint.dir``, which every
 executor can read, so a lost executor never loses them.  Where the setting is
-absent (tests, a laptop) a folder of our own is used instead.
+absent on a local master (tests, a laptop) a folder of our own is used instead; on a
+cluster that is an error, as executors don't see each other's disks.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
-#: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many rows of ids (8 bytes, or 8 and a key of 16) are broadcast, 16 MB at most; more are joined by shuffle.
+BROADCAST_IDS = 250_000
 #: Rows of a file of two or three numbers a row.
 ROWS_A_FILE = 250_000
 
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="gridlore-"))
     return _OWN_DIR[0]
@@ -34,12 +37,20 @@ class Workspace:
     """Parquet tables under the shared folder, to cut lineage durably.
 
     ``save`` writes a DataFrame and returns it as read back; ``drop`` deletes a
-    table that nothing will read again.
+    table that nothing will read again.  The folder is deleted when the application ends,
+    as results read from it until then.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/gridlore/{label}-{uuid.uuid4().hex}"
+        folder, fs = self._file(self.base)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+
+    def _file(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -51,10 +62,8 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            target, fs = self._file(self.path(name))
             fs.delete(target, True)
 
 
@@ -125,6 +134,68 @@ def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
     return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
+def carried(ws: Workspace, rows: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` stored with ``__n``, their number from 1 within a key in an order, and ``__before``, the last ``value`` before
+    each row that isn't null.  Keys must not be null; ``value`` is a long.
+
+    Rows are range-partitioned by key and order, so a hot key is split over tasks.  A task
+    numbers its own rows; what the earlier tasks hold of its first key, a row per task, is
+    added afterwards.
+    """
+    columns = rows.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    at, value_at = [columns.index(k) for k in key], columns.index(value)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, last_key, n, last, first_group = TaskContext.get().partitionId(), None, 0, None, True
+        for batch in batches:
+            size = len(batch)
+            if not size:
+                continue
+            new = np.zeros(size, bool)
+            for i in at:
+                new[1:] |= pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, size - 1)).to_numpy(zero_copy_only=False)
+            here = tuple(batch.column(i)[0].as_py() for i in at)
+            if here != last_key:
+                new[0], n, last = True, 0, None
+                first_group &= last_key is None
+            place = np.arange(size)
+            start = np.maximum.accumulate(np.where(new, place, -1))
+            numbers = np.where(start >= 0, place - start + 1, place + 1 + n)
+            values = batch.column(value_at)
+            known = np.maximum.accumulate(np.where(values.is_valid().to_numpy(zero_copy_only=False), place, -1))
+            known = np.append(-1, known[:-1])  # before this row
+            own = known >= np.maximum(start, 0)
+            plain = values.fill_null(0).to_numpy(zero_copy_only=False)
+            before = np.where(own, plain[known], 0 if last is None else last)
+            missing = ~own & ((start >= 0) | (last is None))
+            head = np.zeros(size, bool)
+            if first_group:
+                head[: (np.flatnonzero(new[1:])[0] + 1) if new[1:].any() else size] = True
+                first_group = not new[1:].any()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers), pa.array(before.astype(np.int64), mask=missing),
+                                              pa.array(np.full(size, part, np.int32)), pa.array(head)], names=[*columns, "__n", "__before", "__part", "__head"])
+            last_key, n = tuple(batch.column(i)[size - 1].as_py() for i in at), int(numbers[-1])
+            end = values[size - 1].as_py()
+            last = end if end is not None else None if missing[-1] else int(before[-1])
+
+    parts = shuffle_partitions(ws.spark)
+    ranged = rows.repartitionByRange(parts, *key, *order).sortWithinPartitions(*key, *order)
+    stored = ws.save(ranged.mapInArrow(run, f"{kinds}, __n long, __before long, __part int, __head boolean"), name)
+    crossing = F.broadcast(stored.where("__head").select(*key).distinct())  # a row per task at most
+    held = stored.join(crossing, key, "left_semi").groupBy(*key, "__part").agg(
+        F.max("__n").alias("c"), F.max_by(F.coalesce(value, "__before"), "__n").alias("v"))
+    earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task and crossing key
+    base = held.select(*key, "__part", F.sum("c").over(earlier).alias("__c"), F.last("v", True).over(earlier).alias("__v")).where("__c IS NOT NULL")
+    out = stored.join(F.broadcast(base), [*key, "__part"], "left")
+    return out.select(*columns, (F.col("__n") + F.coalesce("__c", F.lit(0))).alias("__n"), F.coalesce("__before", "__v").alias("__before"))
+
+
 def without(docs: DataFrame, out: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``out`` (doc_id); null ids stay.
 

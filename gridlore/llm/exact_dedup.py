@@ -5,11 +5,17 @@ and digested with SHA-256.  The index is a table bucketed and sorted by digest.
 A batch is first reduced to one row per digest (map-side combine, so a digest
 that a third of all rows share costs one row per task), then anti-joined to the
 index by sort-merge join on the bucketing key, and the new digests are appended.
-Results per document come from a join with the batch's digest table; both sides
-are plain shuffles, so adaptive execution splits a hot digest.
+What stays is then read from the index by a join on the same key; rows get their
+digest's decision by a plain join, which adaptive execution splits at a hot digest.
+
+Retries: every row of the index names its batch.  What a batch itself has appended
+never counts against it, and a digest is appended once, so a batch that is processed
+again, after a failure or for lost results, gets the same answer.  Without a name a
+batch is named by its contents: the same rows again are a retry.  Give names where the
+same rows may be delivered twice.  One batch is processed at a time.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other;
-a null doc_id is an ordinary row and loses ties to any id; rows repeated with one
+very long texts are digested whole; a null doc_id is an ordinary row and loses ties to any id; rows repeated with one
 doc_id all count in ``group_size`` and share one decision; an empty table gives
 an empty result; other columns of the input are never read.
 """
@@ -38,80 +44,84 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *fu
 
 
 class DigestIndex:
-    """Digests seen so far, in a table bucketed and sorted by digest."""
+    """Digests seen so far, in a table bucketed and sorted by digest.
+
+    With a name the table stays in the catalog's warehouse; without one it lies in a
+    workspace and goes with the application.
+    """
+
+    COLUMNS = "digest binary, keep_id long, n_code_points int, batch string"
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"gridlore_digests_{uuid.uuid4().hex}"
+        self.path = None if name else Workspace(spark, "digests").path("index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not spark.catalog.tableExists(self.name):
+            self._write(spark.createDataFrame([], self.COLUMNS))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def _write(self, rows: DataFrame) -> None:
+        writer = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
-        """Add (digest, keep_id, n_code_points, group_size) rows of new digests."""
-        (rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest")
-         .sortBy("digest").mode("append").format("parquet").saveAsTable(self.name))
+        """Add (digest, keep_id, n_code_points, batch) rows of digests that the index doesn't hold."""
+        fresh = rows.hint("merge").join(self.read().hint("merge"), "digest", "left_anti")
+        # Spark doesn't overwrite or append what it reads in the same job: the new digests are stored first
+        fresh = Workspace(self.spark, "fresh").save(fresh.select("digest", "keep_id", "n_code_points", "batch"), "fresh")
+        self._write(fresh.repartition(self.buckets, "digest"))
 
-    def dedup(self, batch: DataFrame, ws: Workspace) -> DataFrame:
-        """Decide on a batch of (doc_id, digest, n_code_points), then append it.
+    def dedup(self, batch: DataFrame, ws: Workspace, name: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+        """Decide on a batch of (doc_id, digest, n_code_points, order columns) and append its new digests.
 
         Returns doc_id, digest, keep_id, group_size, kept, seen_before.  Of equal
-        rows the one with the most code points stays, then the smallest doc_id; a
-        digest that the index already holds keeps the row recorded there, and no
-        row of the batch stays.
+        rows the one with the most code points stays, then the first by ``order``, then the smallest doc_id; a
+        digest that the index holds from another batch keeps the row recorded there, and no
+        row of this batch stays.
         """
         batch = ws.save(batch, "batch")
-        best = F.max(F.struct("n_code_points", (-F.col("doc_id")).alias("neg_id")))
+        best = F.min(F.struct((-F.col("n_code_points")).alias("few"), *order, F.col("doc_id").isNull().alias("no_id"), "doc_id"))
         groups = batch.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        groups = groups.select("digest", (-F.col("best.neg_id")).alias("keep_id"),
-                               F.col("best.n_code_points").alias("n_code_points"), "group_size")
-        groups = ws.save(groups, "groups")
-        if self.exists():
-            known = self.read()
-            fresh = groups.hint("merge").join(known.hint("merge"), "digest", "left_anti")
-            fresh = ws.save(fresh, "fresh")
-            old = known.select("digest", F.col("keep_id").alias("old_id"))
-            decided = ws.save(groups.join(old, "digest", "left")
-                              .select("digest", F.coalesce("old_id", "keep_id").alias("keep_id"),
-                                      "group_size", F.col("old_id").isNotNull().alias("seen_before")), "decided")
-        else:
-            fresh = groups
-            decided = groups.select("digest", "keep_id", "group_size", F.lit(False).alias("seen_before"))
-        self.append(fresh)
+        groups = ws.save(groups.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.few")).alias("n_code_points"), "group_size"), "groups")
+        name = name or _fingerprint(groups)
+        self.append(groups.withColumn("batch", F.lit(name)))
+        known = self.read().select("digest", F.col("keep_id").alias("first_id"), F.col("batch").alias("first_batch"))
+        decided = groups.select("digest", "group_size").hint("merge").join(known.hint("merge"), "digest")
+        decided = ws.save(decided.select("digest", F.col("first_id").alias("keep_id"), "group_size", (F.col("first_batch") != name).alias("seen_before")), "decided")
         out = batch.join(decided, "digest")
-        return out.select("doc_id", "digest", "keep_id", "group_size",
-                          (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("seen_before")).alias("kept"),
-                          "seen_before")
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("seen_before")
+        return out.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"), "seen_before")
+
+
+def _fingerprint(groups: DataFrame) -> str:
+    """A batch's name by its contents, whatever their order."""
+    h = F.xxhash64("digest", "keep_id", "n_code_points", "group_size")
+    r = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.bit_xor(F.xxhash64(h, F.lit(6))), F.lit(0)).alias("y")).first()
+    return f"{r['n']}-{r['x'] & (1 << 64) - 1:016x}{r['y'] & (1 << 64) - 1:016x}"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                index: DigestIndex | None = None) -> DataFrame:
+                index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, seen_before."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
     index = index or DigestIndex(spark)
-    out = index.dedup(digests(docs, id_col, text_col), ws)
+    out = index.dedup(digests(docs, id_col, text_col), ws, batch)
     return out.select("doc_id", "keep_id", "group_size", "kept",
                       F.lower(F.hex("digest")).alias("text_sha256"), "seen_before")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay; rows repeating a doc_id go together, null ids stay."""
-    return without(docs, exact_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"), id_col)
-
-
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of ``docs`` per digest, whatever the ids: most code points, then smallest id, null last."""
     ws = Workspace(docs.sparkSession, "unique")
     rows = numbered(ws, docs)
-    keys = ws.save(digests(rows.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text", "__row"), "keys")
-    first = F.min(F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), "doc_id", "__row"))
-    best = ws.save(keys.groupBy("digest").agg(first["__row"].alias("best")), "best")
-    out = keys.join(best, "digest").where(F.col("__row") != F.col("best")).select(F.col("__row").alias("doc_id"))
+    given = F.col(id_col).cast("long")
+    keys = digests(rows.select("__row", F.struct(given.isNull().alias("none"), given.alias("id")).alias("__given"), F.col(text_col).alias("__text")),
+                   "__row", "__text", "__given")
+    out = DigestIndex(docs.sparkSession).dedup(keys, ws, order=("__given",)).where("NOT kept").select("doc_id")
     return without(rows, out, "__row").drop("__row")
 
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridlore.llm import binary_output, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, packing, pii, quality, quotes
-from gridlore.llm.common import Workspace, connected_components
+from gridlore.llm.common import Workspace, carried, connected_components
 from gridlore.llm.queries import QUERIES
 from gridlore.llm.tokens import Encoder, tokenizer_path
 
@@ -258,7 +258,56 @@ def test_exact(spark):
     again = {r["doc_id"]: (r["keep_id"], r["kept"], r["seen_before"]) for r in exact_dedup.exact_dedup(table(spark, [(50, "AB"), (51, "a  b")]), index=index).collect()}
     assert again == {50: (50, True, False), 51: (3, False, True)} and index.read().count() == 2
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
-    assert sorted((r["doc_id"] for r in exact_dedup.drop_copies(table(spark, rows)).collect()), key=str) == sorted([3, 6, 7, 8, None], key=str)
+    kept = exact_dedup.unique_rows(clashing(table(spark, rows)))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 6, 7, 8], key=str) and "digest" in kept.columns
+
+
+def test_exact_by_batches(spark):
+    """A batch that runs twice gets the same answer; several batches keep the rows that one batch keeps."""
+    def run(rows, index, name=None):
+        out = exact_dedup.exact_dedup(table(spark, rows), index=index, batch=name)
+        return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["seen_before"]) for r in out.collect()), key=str)
+
+    rows = [(i, f"text {i % 7}") for i in range(30)] + [(None, "text 1"), (40, None)]
+    first, second = rows[:18], rows[18:]
+    index = exact_dedup.DigestIndex(spark, "digests_of_the_test", 3)
+    one = run(first, index)
+    assert run(first, index) == one and sum(r[3] for r in one) == 7
+    two = run(second, index)
+    assert run(second, index) == two and run(first, index) == one and [r[0] for r in two if r[3]] == [40]
+    assert {r[0] for r in one + two if r[3]} == {r[0] for r in run(rows, exact_dedup.DigestIndex(spark)) if r[3]}
+    assert index.read().count() == 8
+    again = run(first, index, "delivered once more")
+    assert not any(r[3] for r in again) and all(r[4] for r in again)
+    # a digest half of whose append was lost: the retry adds the rest
+    other = exact_dedup.DigestIndex(spark)
+    groups = spark.createDataFrame([(b"x", 1, 1, "b")], exact_dedup.DigestIndex.COLUMNS)
+    other.append(groups)
+    other.append(groups.union(spark.createDataFrame([(b"y", 2, 1, "b")], exact_dedup.DigestIndex.COLUMNS)))
+    assert sorted((bytes(r["digest"]), r["keep_id"]) for r in other.read().collect()) == [(b"x", 1), (b"y", 2)]
+    long = "word " * 400_000
+    assert run([(1, long), (2, long + " "), (3, long + "x")], exact_dedup.DigestIndex(spark)) == sorted([(1, 2, 2, False, False), (2, 2, 2, True, False), (3, 3, 1, True, False)], key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_carried(spark, parts):
+    rng = random.Random(9)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, 7, 8]), rng.randrange(400)) for _ in range(500)})
+    rows = [(k, t, t if rng.random() < 0.2 else None) for k, t in rows]
+    want, state = {}, {}
+    for k, t, v in rows:
+        n, last = state.get(k, (0, None))
+        want[k, t] = (n + 1, last)
+        state[k] = (n + 1, v if v is not None else last)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = carried(Workspace(spark, "t"), spark.createDataFrame(rows, "k long, t long, v long"), ["k"], ["t"], "v", "rows").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["k"], r["t"]): (r["__n"], r["__before"]) for r in out} == want
 
 
 @needs_data
