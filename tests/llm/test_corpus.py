@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -143,11 +144,32 @@ def test_pii(spark, tmp_path):
         assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
         assert got[i]["n_card"] == want.count("card:")
     assert "iban:37:64" in got[10]["spans"] and "national_id:4:15" in got[11]["spans"] and got[11]["spans"].count("national_id") == 1
-    clean = pii.redact(table(spark, [(1, "x a@b.cd y 1.1.1.1"), (2, None)])).orderBy("doc_id").collect()
-    assert [r["text"] for r in clean] == ["x <email> y <ip>", None]
+    clean = pii.redact(table(spark, [(1, "x a@b.cd y 1.1.1.1"), (2, None), (3, "no account 4111 1111 1111 1112")])).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["x <email> y <ip>", None, "no account 4111 1111 1111 1112"]
     assert pii.find_pii(table(spark, [])).count() == 0
 
 
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{key}" then', f"a commit {key} of code", "token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "Bearer " + "aB3xZ9" * 5 + "qLmN7==", "token " + "x" * 60_000,
+             "the token ring network connects twenty-seven-hundred-and-some machines"]
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["found"]] for r in pii.find_pii(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [("secret", 9, 49)], 1: [], 2: [], 3: [("secret", 7, 44)], 4: [], 5: []}
+    assert pii.redact(table(spark, [(1, texts[0])])).first()["text"] == 'token = "<secret>" then'
+
+
+def test_many_spans(spark):
+    """A text of very many matches costs about its length, and its places are right."""
+    text = " ".join(f"é user{i}@mail.example 10.0.{i % 300}.7" for i in range(30_000))
+    began = time.monotonic()
+    found = pii.find_pii(table(spark, [(1, text)])).first()["found"]
+    want = [(m.start(), kind) for kind, p, ok in RULES[:2] for m in re.finditer(p, text) if ok(m.group())]
+    assert [(x["start"], x["kind"]) for x in found] == sorted(want) and len(found) > 50_000
+    clean = pii.redact(table(spark, [(1, text)])).first()["text"]
+    assert clean.count("<email>") == 30_000 and clean.count("<ip>") == len(found) - 30_000 and "@" not in clean
+    assert time.monotonic() - began < 60
+
+
 def test_iban_before_capitals(spark):
     numbers = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
     tails = [" BIC BKAUATWW", " SWIFT code", " EUR", " BE68 5390 0754 7034", "", ". AND MORE"]
