@@ -11,16 +11,19 @@ of another conversation.  Where pieces of a passage lead to several messages, th
 most of its characters is taken, then the latest (in the corpus: the first).  A message
 replies to the message that its first linked level-1 passage quotes.  Without a link it replies to the previous turn.  Reply chains are
 followed by pointer doubling, and each conversation is returned in reply order:
-thread by thread (``root_turn``), by depth, then by turn, with quotes removed.
+thread by thread (``root_turn``), by depth, then by turn (``position`` counts from 1), with quotes removed.
 
-Candidates of a hash are first reduced to one row per (hash, conversation), then to one
-per hash, with map-side combine; the joins run between stored tables, so a first turn
-that very many conversations share costs no more than its rows.
+A piece offers one message: the nearest earlier one of its conversation that has it, found by a
+merge of the hash's messages and quotes in turn order, else the corpus's first one elsewhere.
+So a passage that is said and quoted very often costs its rows, never their pairs.  Turns are
+merged, numbered and chained over range partitions (``carried``), which split a conversation
+or a hash that holds a third of all rows.
 
 Defined cases: a null text has no lines; a message that is only quotes has an empty body;
-a message never links to itself or to a later turn of its conversation; a turn that is
+a message never links to itself or to a later turn of its conversation; turns may have gaps:
+the previous turn is the next smaller one that is there; very long texts are parsed whole; a turn that is
 given twice counts once (the text that sorts first; the other rows are returned with the same links);
-a null conv_id or turn gives no links; an empty table gives an empty result; other
+a null conv_id or turn gives no links and no position; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, carried, documents
 
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|.{1,80}\bwrote|.{1,80}\bsaid)\s*:\s*$"
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
@@ -71,29 +74,28 @@ def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     def own(x: Column, i: Column) -> Column:
         return (x["level"] == 0) & ~attribution(x, i)
 
-    body = F.trim(F.array_join(F.transform(F.filter("lines", own), lambda x: x["line"]), "\n"))
+    body = F.regexp_replace(F.array_join(F.transform(F.filter("lines", own), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
     said = F.filter("lines", lambda x, i: (x["level"] == 0) | ~attribution(x, i))
-
-    # runs of one level: quoted lines are joined in one string and cut where the level changes
-    def glue(acc: Column, x: Column) -> Column:
-        same = (acc["level"] == x["level"]) & (x["level"] > 0)
-        last = F.element_at(acc["out"], -1)
-        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1),
-                         F.array(F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))))
-        begun = F.concat(acc["out"], F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"))))
-        out = F.when(same, grown).when(x["level"] > 0, begun).otherwise(acc["out"])
-        return F.struct(x["level"].alias("level"), out.alias("out"))
-
-    start = F.expr("cast(struct(0, array()) as struct<level:int,out:array<struct<level:int,text:string>>>)")
-    quoted = F.exists("lines", lambda x: x["level"] > 0)
+    rows = rows.select("conv_id", "turn", "role", body.alias("body"), F.when(F.exists("lines", lambda x: x["level"] > 0), said).alias("said"))
+    # runs of one level, by the places where it changes
+    size = F.size("said")
+    level = F.transform("said", lambda x: x["level"])
+    rows = rows.select("conv_id", "turn", "role", "body", "said", level.alias("level"))
+    edges = F.filter(F.sequence(F.lit(0), size), lambda i: (i == 0) | (i == size) | (F.get("level", i) != F.get("level", i - 1)))
+    rows = rows.select("conv_id", "turn", "role", "body", "said", "level", F.when(size > 0, edges).alias("edges"))
+
+    def run(start: Column, i: Column) -> Column:
+        lines = F.slice("said", start + 1, F.get("edges", i + 1) - start)
+        return F.struct(F.get("level", start).alias("level"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+    runs = F.transform(F.slice("edges", F.lit(1), F.greatest(F.size("edges") - 1, F.lit(0))), run)
     none = F.expr("cast(array() as array<struct<level:int,text:string>>)")
-    passages = F.when(quoted, F.aggregate(said, start, glue)["out"]).otherwise(none)
-    return rows.select("conv_id", "turn", "role", body.alias("body"), passages.alias("passages"))
+    return rows.select("conv_id", "turn", "role", "body", F.coalesce(F.filter(runs, lambda x: x["level"] > 0), none).alias("passages"))
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                 text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, body, n_quotes, n_linked, parent_conv, parent_turn, root_turn, depth."""
+    """One row per message: conv_id, turn, role, body, n_quotes, n_linked, parent_conv, parent_turn, root_turn, depth, position."""
     ws = Workspace(messages.sparkSession, "quotes")
     parsed = ws.save(parse_messages(messages, conv_col, turn_col, role_col, text_col), "parsed")
     once = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(
@@ -108,10 +110,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     original = once.where("body <> ''").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(pieces(F.col("body")), lambda x: x["h"]))).alias("h"))
     original = ws.save(original.join(wanted, "h", "left_semi"), "original") if not wanted.isEmpty() else \
         ws.save(original.where("false"), "original")
-    # earlier messages of the same conversation
-    near = parts.alias("q").join(original.alias("o"), (F.col("q.h") == F.col("o.h")) & (F.col("q.conv_id") == F.col("o.conv_id"))
-                                 & (F.col("o.turn") < F.col("q.turn")))
-    near = near.groupBy("q.conv_id", "q.turn", "q.place", "q.grain", F.col("o.turn").alias("to_turn")).agg(F.sum("q.size").alias("size"))
+    # the nearest earlier message of the same conversation: quotes come before messages of the same turn
+    said = original.select("h", "conv_id", "turn", F.lit(1).alias("kind"), F.col("turn").alias("said"), F.lit(0).alias("place"), F.lit(0).alias("grain"), F.lit(0).cast("long").alias("size"))
+    asked = parts.select("h", "conv_id", "turn", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("said"), "place", "grain", "size")
+    merged = carried(ws, said.unionByName(asked), ["h", "conv_id"], ["turn", "kind"], "said", "merged")
+    near = merged.where("kind = 0 AND __before IS NOT NULL").groupBy("conv_id", "turn", "place", "grain", F.col("__before").alias("to_turn")).agg(F.sum("size").alias("size"))
     near = near.select("conv_id", "turn", "place", F.struct("grain", F.lit(0).alias("far"), (-F.col("size")).alias("size"), F.lit(0).cast("long").alias("c"),
                        (-F.col("to_turn")).alias("t"), F.struct("conv_id", F.col("to_turn").alias("turn")).alias("to")).alias("rank"))
     # the corpus's first message, and the first of any other conversation for quotes of that one
@@ -129,19 +132,21 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     links = linked.groupBy("conv_id", "turn").agg(best, F.count(F.lit(1)).alias("n_quotes"), F.count("to").alias("n_linked"))
     links = ws.save(links.select("conv_id", "turn", F.col("best.to").alias("to"), "n_quotes", "n_linked"), "links")
 
-    keys = ws.save(once.select("conv_id", "turn"), "keys")
-    before = keys.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("has_previous"))
-    nodes = keys.join(links, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
-    previous = F.when(F.col("has_previous"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")))
+    keys = carried(ws, once.select("conv_id", "turn", F.col("turn").alias("said")), ["conv_id"], ["turn"], "said", "keys")
+    nodes = keys.select("conv_id", "turn", F.col("__before").alias("previous")).join(links, ["conv_id", "turn"], "left")
+    previous = F.when(F.col("previous").isNotNull(), F.struct("conv_id", F.col("previous").alias("turn")))
     nodes = ws.save(nodes.select("conv_id", "turn", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
                                  F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
                                  F.when(F.col("to").isNotNull(), F.col("to")).otherwise(previous).alias("parent")), "nodes")
     threads = _threads(ws, nodes)
+    order = threads.select("conv_id", "turn", "root", "depth")
+    order = carried(ws, order, ["conv_id"], ["root", "depth", "turn"], "turn", "order").select("conv_id", "turn", F.col("__n").alias("position"))
+    threads = threads.join(order, ["conv_id", "turn"])
     out = parsed.select("conv_id", "turn", "role", "body").join(threads, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "body", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"),
                       F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("parent.conv_id").alias("parent_conv"),
                       F.col("parent.turn").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"),
-                      F.coalesce("depth", F.lit(0)).alias("depth"))
+                      F.coalesce("depth", F.lit(0)).alias("depth"), "position")
 
 
 def _threads(ws: Workspace, nodes: DataFrame) -> DataFrame:

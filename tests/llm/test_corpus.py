@@ -257,6 +257,96 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.where("false")).count() == 0
 
 
+def brute_quotes(messages):
+    """(n_quotes, n_linked, parent, root, depth, position) of one row per turn, message by message."""
+    def parse(text):
+        lines = []
+        for line in re.split(r"\r\n|\r|\n", text):
+            marks = re.match(quotes.MARKS, line)
+            lines.append((marks.group(1).count(">"), line[marks.end():]) if marks else (0, line))
+        mark = [i + 1 < len(lines) and lines[i + 1][0] > v and bool(re.match(quotes.ATTRIBUTION, t)) for i, (v, t) in enumerate(lines)]
+        body = "\n".join(t for (v, t), m in zip(lines, mark, strict=True) if v == 0 and not m).strip()
+        runs, said = [], [x for x, m in zip(lines, mark, strict=True) if x[0] == 0 or not m]
+        for i, (v, t) in enumerate(said):
+            if v and i and said[i - 1][0] == v:
+                runs[-1][1].append(t)
+            elif v:
+                runs.append((v, [t]))
+        return body, [(v, "\n".join(t)) for v, t in runs]
+
+    def cut(text):
+        out = {}
+        for grain, parts in enumerate(([text], re.split(r"\n[ \t]*\n", text), text.split("\n"))):
+            for x in (" ".join(p.lower().split()) for p in parts):
+                if x:
+                    out.setdefault(x, grain)
+        return out
+
+    parsed = {m: parse(t) for m, t in messages.items()}
+    has = defaultdict(list)
+    for m in sorted(parsed):
+        for x in cut(parsed[m][0]):
+            has[x].append(m)
+    got = {}
+    for m in sorted(parsed):
+        best, linked = None, 0
+        for place, (level, text) in enumerate(parsed[m][1]):
+            votes = defaultdict(int)
+            for x, grain in cut(text).items():
+                near = [o for o in has[x] if o[0] == m[0] and o[1] < m[1]]
+                far = [o for o in has[x] if o[0] != m[0]]
+                if near:
+                    votes[grain, 0, near[-1]] += len(x)
+                if far:
+                    votes[grain, 1, far[0]] += len(x)
+            if votes:
+                linked += 1
+                to = min(votes, key=lambda v: (v[0], v[1], -votes[v], 0 if v[1] == 0 else v[2][0], -v[2][1] if v[1] == 0 else v[2][1]))[2]
+                best = min(best or (level, place, to), (level, place, to))
+        before = [o for o in parsed if o[0] == m[0] and o[1] < m[1]]
+        parent = best[2] if best else max(before) if before else None
+        inside = parent is not None and parent[0] == m[0]
+        got[m] = [len(parsed[m][1]), linked, parent, got[parent][3] if inside else m[1], got[parent][4] + 1 if inside else 0, 0]
+    for c in {m[0] for m in got}:
+        for i, m in enumerate(sorted((m for m in got if m[0] == c), key=lambda m: (got[m][3], got[m][4], m[1])), 1):
+            got[m][5] = i
+    return got
+
+
+def test_quotes_brute(spark):
+    """Invented mail with nested quotes, gaps in the turns, and a conversation that holds a third of all messages."""
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "Epsilon", "zeta"]
+    messages = {}
+    for k in range(240):
+        m = (0 if k % 3 == 0 else rng.randrange(1, 12), k * 2 + rng.randrange(2))
+        earlier = [o for o in messages if o[0] == m[0] or rng.random() < 0.05]
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 3))]
+        if earlier and rng.random() < 0.7:
+            quoted = messages[rng.choice(earlier)].split("\n")
+            a = rng.randrange(len(quoted))
+            part = quoted[a:a + rng.randint(1, 4)]
+            lines = ["On Monday someone wrote:"] * (rng.random() < 0.5) + [">" + " " * (not x.startswith(">")) + x for x in part] + lines
+        if rng.random() < 0.3:
+            lines.insert(len(lines) // 2, "")
+        messages[m] = "\n".join(lines)
+    df = spark.createDataFrame([(c, t, "u", x) for (c, t), x in messages.items()], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): [r["n_quotes"], r["n_linked"], (r["parent_conv"], r["parent_turn"]) if r["parent_conv"] is not None else None,
+                                       r["root_turn"], r["depth"], r["position"]] for r in quotes.link_quotes(df).collect()}
+    want = brute_quotes(messages)
+    assert sum(r[1] for r in want.values()) > 60 and got == want
+
+
+def test_quotes_grow_evenly(spark):
+    """A passage that is said and quoted at every turn, and a message of very many passages."""
+    n = 3000
+    rows = [(1, 3 * i, "u", "> the same words\n\nthe same words\n") for i in range(n)] + [(2, 1, "u", "\n".join(f"> a{i}\nb{i}" for i in range(20_000)))]
+    began = time.monotonic()
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all((r["parent_turn"], r["depth"], r["body"]) == (t - 3 if t else None, t // 3, "the same words") for (c, t), r in got.items() if c == 1)
+    assert got[2, 1]["n_quotes"] == 20_000 and time.monotonic() - began < 90
+
+
 def test_quotes_of_passages(spark):
     messages = [(1, 0, "u", "The original question"), (1, 1, "a", "Sounds good."), (1, 2, "u", "> Sounds good.\n> On Monday X wrote:\n>> the original question\nThen let us go"),
                 (2, 0, "u", "First line\nsecond line\nthird line\n\nParagraph two\n\nParagraph three\n\nEnd"), (2, 1, "a", "Third line"),
