@@ -2,8 +2,8 @@
 
 Method, all in DataFrame functions:
 
-1. A labelled table names a domain for some documents.  Naive Bayes over hashed word
-   endings (``ENDING`` characters; shorter words whole) is counted on about ``MAX_TRAIN_ROWS`` labelled documents; its
+1. A labelled table names a domain for some documents.  Naive Bayes over hashed words
+   is counted on about ``MAX_TRAIN_ROWS`` labelled documents; its
    tables (``BUCKETS`` numbers per domain) become array literals.
 2. Every document gets its domains' posteriors from all its words, tempered to
    ``TEMPER`` words so that long texts keep soft memberships, and its token count
@@ -19,34 +19,35 @@ domain should keep (``PREFERENCES``).  The query and the pipeline use weights (`
 Without a budget in tokens the weights' total is the largest that the domains hold: the
 scarcest domain, relative to its weight, is taken whole; single documents of mixed
 membership may still be repeated to meet the weights.
-``copies`` rounds a rate by the hash of id and text: its whole part, and one more with the
-probability of its fraction; only within ``NOISE`` is a rate taken for a whole number.
+``copies`` are whole numbers whose running sum follows the running sum of the rates: rows are dealt
+evenly to strata of about ``STRATUM`` rows, ordered there by likeliest domain and length, and a row gets as many
+copies as whole numbers lie between the sums before and after it.  So the copies' tokens meet the fitted totals
+for every domain and length, not only on average.  Each row's copies are its rate rounded down or up.
 
 Defined cases: a null or blank text has no tokens, prior posteriors, and its rate; a
 document labelled twice teaches its alphabetically first domain; null labels teach
 nothing; with nothing labelled every rate is 1; a domain that no document resembles
 keeps a target of 0, as does one without a target; a null doc_id is carried; repeated rows
-are rated alike; an empty table gives an empty result.
+are rated alike, while their copies may differ by one; very long texts are counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, documents, numbered, without
 
 BUCKETS = 4096
 MAX_TRAIN_ROWS = 4000
-ENDING = 4
 TEMPER = 60.0
 SMOOTHING = 0.5
 STEPS = 30
 CLOSE = 1e-4
 PREFERENCES = {"good": 1.0, "poor": 0.5}
 TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
-NOISE = 1e-6
+STRATUM = 50_000
 
 
 def words(text: Column) -> Column:
@@ -55,7 +56,7 @@ def words(text: Column) -> Column:
 
 
 def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.right(word, F.lit(ENDING))), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
 def numbers(values) -> Column:
@@ -178,12 +179,15 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], budg
                       "reached": dict(zip(names, now.tolist(), strict=True))}
 
 
-def copies(rate: Column, draw: Column) -> Column:
-    """A rate as a whole number, by a hash."""
-    place = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    whole = F.floor(rate + NOISE)
-    part = rate - whole
-    return (whole + F.when((part > NOISE) & (place < part), 1).otherwise(0)).cast("int")
+def copies(rated: DataFrame, rows: int) -> DataFrame:
+    """``rated`` (p, n_tokens, rate, __at) with whole ``copies``; ``__at`` is a number of its own for each row."""
+    strata = -(-rows // STRATUM) or 1
+    likeliest = F.array_position("p", F.array_max("p"))
+    place = Window.partitionBy("__stratum").orderBy(likeliest, "n_tokens", "rate", F.xxhash64("__at"), "__at")
+    dealt = rated.withColumn("__stratum", F.pmod(F.xxhash64("__at", F.lit(45)), F.lit(strata)))
+    dealt = dealt.withColumn("__sum", F.sum("rate").over(place.rowsBetween(Window.unboundedPreceding, 0)) + F.pmod(F.xxhash64("__stratum"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    before = F.coalesce(F.lag("__sum").over(place), F.pmod(F.xxhash64("__stratum"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    return dealt.withColumn("copies", (F.floor(F.col("__sum") + 1e-9) - F.floor(before + 1e-9)).cast("int")).drop("__stratum", "__sum")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFERENCES, id_col: str = "doc_id", text_col: str = "text",
@@ -194,10 +198,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = PREFER
     if not domains.names:
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens"), *further)
         return plain.select("*", F.expr("cast(array() as array<double>)").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), []
-    soft = ws.save(posteriors(docs.withColumn("__draw", F.xxhash64(F.col(id_col).cast("long"), text_col, F.lit(44))), domains, id_col, text_col, *further, "__draw"), "soft")
+    soft = posteriors(docs, domains, id_col, text_col, *further).withColumn("__at", F.monotonically_increasing_id())
+    soft = ws.save(soft, "soft")
     rate, _ = fit_rates(soft, domains.names, targets, budget, weights=weights)
-    out = soft.select("*", rate.alias("rate"))
-    return out.withColumn("copies", copies(F.col("rate"), F.col("__draw"))).drop("__draw"), domains.names
+    return copies(soft.select("*", rate.alias("rate")), soft.count()).drop("__at"), domains.names
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -565,13 +565,42 @@ def test_stages_decide_by_row(spark, stage):
     assert sorted(map(str, (tuple(r)[:2] for r in out.collect()))) == sorted(map(str, [(2, same), *rows[5:]]))
 
 
-def test_copies_reach_the_totals(spark):
+@pytest.mark.parametrize("targets, budget", [({"good": 2, "poor": 1}, 600.0), ({"good": 2, "poor": 1}, 3000.0), ({"good": 19, "poor": 1}, 3900.0),
+                                             ({"good": 0.95, "poor": 0.04, "toxic": 0.01}, None)])
+def test_copies_reach_the_totals(spark, targets, budget):
+    """Token totals of the copies meet the weights, whatever the size of the rates' fractions."""
     docs, labels = mixed_corpus(spark)
-    for budget in (600.0, 3000.0):  # a tenth and half of the corpus, a little less
-        rated, names = mixing.mix(docs, mixing.label_domains(labels), {"good": 2, "poor": 1}, budget=budget, weights=True)
-        rows = rated.collect()
-        got = [sum(r["n_tokens"] * r["p"][names.index(x)] * r["copies"] for r in rows) for x in ("good", "poor")]
-        assert got == pytest.approx([budget * 2 / 3, budget / 3], rel=0.25)
+    rated, names = mixing.mix(docs, mixing.label_domains(labels), targets, budget=budget, weights=True)
+    rows = rated.collect()
+    got = {x: sum(r["n_tokens"] * r["p"][names.index(x)] * r["copies"] for r in rows) for x in targets}
+    by_rate = {x: sum(r["n_tokens"] * r["p"][names.index(x)] * r["rate"] for r in rows) for x in targets}
+    total = sum(targets.values())
+    assert sum(got.values()) == pytest.approx(budget or sum(by_rate.values()), rel=0.01)
+    assert {x: n / sum(got.values()) for x, n in got.items()} == pytest.approx({x: w / total for x, w in targets.items()}, abs=0.005)
+    assert all(int(r["rate"] - 1e-6) <= r["copies"] <= int(r["rate"] + 1 + 1e-6) for r in rows)
+
+
+def test_rates_brute(spark):
+    """The rates are the nearest to 1 that meet the totals: numpy's projected gradient finds no nearer ones."""
+    rng = np.random.default_rng(3)
+    n = 400
+    p = rng.dirichlet([0.4, 0.3, 0.2], n)
+    t = rng.integers(1, 200, n).astype(float)
+    goal_weights = np.array([0.6, 0.3, 0.1])
+    soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "n_tokens long, p array<double>")
+    budget = 0.8 * t.sum()
+    rate, report = mixing.fit_rates(soft, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1}, budget, weights=True)
+    got = {(r["n_tokens"], tuple(r["p"])): r["r"] for r in soft.select("n_tokens", "p", rate.alias("r")).collect()}
+    r = np.array([got[int(a), tuple(b)] for a, b in zip(t, p, strict=True)])
+    goal = goal_weights * budget
+    assert (r >= 0).all() and np.allclose((t * r) @ p, goal, rtol=1e-3)
+    # minimise sum t (x - 1)^2 with the totals as a heavy penalty, from elsewhere
+    x, lam = np.full(n, 0.5), np.zeros(3)
+    scale = (t[:, None] * p ** 2).sum(0)
+    for _ in range(20_000):
+        x = np.maximum(0, 1 - p @ lam)
+        lam += 0.5 * ((t * x) @ p - goal) / scale.sum()
+    assert np.allclose(r, x, atol=2e-2)
 
 
 def test_resample_decides_by_row(spark):
