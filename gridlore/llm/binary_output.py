@@ -1,36 +1,38 @@
 """Token-ID / binary output (8): Arrow stream files of fixed-size lists.
 
 Each shard is one Arrow IPC stream: record batches of ``ids``
-(fixed_size_list<uint16|uint32>[seq_len]) and ``mask`` (fixed_size_list<bool>),
-so that sequence k of a shard sits at a computed place in its batch and is read
-without a copy of others.  Beside it lies an index stream (doc_id, start, n_tokens within the shard).
-Documents are range-partitioned by doc_id and sorted, so shard order is doc_id
-order; the ids of one shard are one run, padded only in its last sequence.
+(fixed_size_list<uint16|uint32>[seq_len]) and ``mask`` (fixed_size_list<bool>), each but the last of
+``BATCH_SEQS`` sequences.  Such batches are equally long in the file, so batch b starts at a
+computed place and sequence k is row k % BATCH_SEQS of batch k // BATCH_SEQS: it is
+read from a memory map without reading or copying others.  Beside it lies an index stream (doc_id, start, n_tokens within the shard).
+Documents are range-partitioned by doc_id and their text's hash and sorted, so shard order is doc_id
+order and rows that share one id are split, too; the ids of one shard are one run, padded only in its last sequence.
+There are as many shards as the session's shuffle partitions, or more where a shard would hold over ``SHARD_CHARS`` characters.
 
 A task writes to a name of its own and renames it when complete, so a retried
 or speculative task leaves no half file.  The driver only sees one row per shard
 (counts), from which shard offsets are summed.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id sorts
-first; rows that repeat a doc_id are each written, in order of their text's hash;
+first; rows that repeat a doc_id are each written, in order of their text's hash; very long texts are encoded whole;
 an empty table gives no shards and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, documents, shuffle_partitions
 from .tokens import encoder, slices, tokenizer_path
 
 SEQ_LEN = 2048
 BATCH_SEQS = 512
+SHARD_CHARS = 256_000_000
 END_ID = 1
 
 
@@ -63,17 +65,25 @@ class ShardWriter:
     def _flush(self, last: bool) -> None:
         raw = b"".join(self.held)
         row = self.seq_len * self.dtype.itemsize
-        whole = -(-len(raw) // row) if last else len(raw) // row
-        used = raw[: whole * row]
-        real = len(used) // self.dtype.itemsize
-        used += b"\0" * (whole * row - len(used))
-        self.held, self.size = [raw[whole * row:]], max(0, len(raw) - whole * row)
-        if whole:
-            ids = pa.array(np.frombuffer(used, self.dtype))
-            mask = pa.array(np.arange(whole * self.seq_len) < real)
-            self.out.write_batch(pa.record_batch(
-                [pa.FixedSizeListArray.from_arrays(ids, self.seq_len),
-                 pa.FixedSizeListArray.from_arrays(mask, self.seq_len)], schema=self.schema))
+        batch = BATCH_SEQS * row
+        at = 0
+        while len(raw) - at >= batch:
+            self._write(raw[at: at + batch], BATCH_SEQS)
+            at += batch
+        if last and at < len(raw):
+            self._write(raw[at:], -(-(len(raw) - at) // row))
+            at = len(raw)
+        self.held, self.size = [raw[at:]], len(raw) - at
+
+    def _write(self, raw: bytes, whole: int) -> None:
+        """One batch of so many sequences, the last one padded."""
+        real = len(raw) // self.dtype.itemsize
+        raw += b"\0" * (whole * self.seq_len * self.dtype.itemsize - len(raw))
+        ids = pa.array(np.frombuffer(raw, self.dtype))
+        mask = pa.array(np.arange(whole * self.seq_len) < real)
+        self.out.write_batch(pa.record_batch(
+            [pa.FixedSizeListArray.from_arrays(ids, self.seq_len),
+             pa.FixedSizeListArray.from_arrays(mask, self.seq_len)], schema=self.schema))
 
     def close(self) -> None:
         self._flush(True)
@@ -81,34 +91,55 @@ class ShardWriter:
 
 
 class Shard:
-    """A shard read back: in one pass by ``batches``, or any sequence by ``sequence``; use one of the two on a shard."""
+    """A shard read back: in one pass by ``batches``, or any sequence by ``sequence``."""
 
     def __init__(self, folder: str, name: str):
         store, path = _store(folder)
         local = f"{path}/{name}.arrow"
-        source = pa.memory_map(local) if store.type_name == "local" else store.open_input_file(local)
-        self.reader = pa.ipc.open_stream(source)
-        self.seq_len = self.reader.schema.field("ids").type.list_size
-        self.parts: list[pa.RecordBatch] | None = None
+        self.source = pa.memory_map(local) if store.type_name == "local" else store.open_input_file(local)
+        self.size = self.source.size()
+        self.schema = pa.ipc.read_schema(self.source)
+        self.seq_len = self.schema.field("ids").type.list_size
+        self.first = self.source.tell()
+        self.step = 0  # bytes of a whole batch; unknown before the first is read
+
+    def _batch(self, b: int) -> pa.RecordBatch:
+        """Batch b, from its computed place; its buffers are views of the file where that is mapped."""
+        place = self.first + b * self.step
+        if b and not self.step:
+            self._batch(0)
+            place = self.first + b * self.step
+        if place >= self.size:
+            raise IndexError(b)
+        self.source.seek(place)
+        try:
+            message = pa.ipc.read_message(self.source)
+        except EOFError:
+            raise IndexError(b) from None
+        if not b:
+            self.step = self.source.tell() - place
+        return pa.ipc.read_record_batch(message, self.schema)
 
     def batches(self):
         """Runs of the shard's ids as numpy arrays, without the padding."""
-        for batch in self.reader:
+        b = 0
+        while True:
+            try:
+                batch = self._batch(b)
+            except IndexError:
+                return
             ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)
-            mask = batch.column(1).flatten()
-            yield ids[: mask.true_count]
+            yield ids[: batch.column(1).flatten().true_count]
+            b += 1
 
     def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, padding mask) of sequence k: views of the mapped file, where it is local."""
-        if self.parts is None:  # the headers of all batches, once; their buffers stay in the file
-            self.parts, self.ends = list(self.reader), []
-            for batch in self.parts:
-                self.ends.append(batch.num_rows + (self.ends[-1] if self.ends else 0))
-        if not 0 <= k < (self.ends[-1] if self.ends else 0):
+        if k < 0:
             raise IndexError(k)
-        i = bisect_right(self.ends, k)
-        batch = self.parts[i].slice(k - (self.ends[i] - self.parts[i].num_rows), 1)
-        return batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten()
+        row = self._batch(k // BATCH_SEQS).slice(k % BATCH_SEQS, 1)
+        if not len(row):
+            raise IndexError(k)
+        return row.column(0).flatten().to_numpy(zero_copy_only=True), row.column(1).flatten()
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -118,9 +149,10 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     ``dtype`` must hold the vocabulary's ids: ``<u2`` below 65,536 ids.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = shuffle_partitions(spark, chars, SHARD_CHARS)
+    rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def write(batches):
         from pyspark import TaskContext

@@ -6,15 +6,26 @@ vocabularies).  Ids of a piece are asked of the library once and kept in a bound
 table.  Pieces of plain letters, digits and marks are split further by the same rule
 the vocabulary states and go straight to the library's BPE model; every other piece
 goes through the library's whole ``encode``.  ``tests/llm`` compares with whole-text
-encoding.
+encoding.  This holds for the splitting rules in ``RULES``, which a vocabulary file must
+state as they are here; a file with other rules is encoded whole, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 
+#: Fixed values: (pre_tokenizer, normalizer) of the vocabulary files whose splitting this module knows.
+RULES = (
+    ({"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None),
+    ({"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}),
+)
+
 #: White_Space of Unicode, as the vocabularies' splitting rules see it.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WITH_SPACE = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
@@ -67,6 +78,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
+        with open(path, encoding="utf-8") as source:
+            stated = json.load(source)
+        added = [t for t in stated.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+        plain_bpe = stated["model"]["type"] == "BPE" and not stated["model"].get("byte_fallback") and not stated["model"].get("dropout")
+        self.known = plain_bpe and not added and (stated["pre_tokenizer"], stated["normalizer"]) in RULES
+        if not self.known:
+            return
         self.lower = self.tokenizer.normalizer is not None
         self.pattern = WORDS_ONLY if self.lower else WITH_SPACE
         self.runs = RUNS_LOWER if self.lower else RUNS
@@ -97,6 +115,8 @@ class Encoder:
         return self._whole(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.known:
+            return [self._whole(t) for t in texts]
         table, find = self.table, self.pattern.findall
         found = [[table[p] for p in find(t)] for t in texts]
         waiting, table.waiting = table.waiting, {}

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -492,7 +493,7 @@ def test_binary(spark):
         assert start == at and match
         at += n
     name = manifest[0]["name"]
-    batch = next(iter(binary_output.Shard(ws.path("shards"), name).reader))
+    batch = binary_output.Shard(ws.path("shards"), name)._batch(0)
     assert batch.schema.field("ids").type == pa.list_(pa.uint16(), 64) and batch.column(1).flatten()[0].as_py()
     empty = binary_output.write_shards(table(spark, []), ws.path("none"), path).collect()
     assert binary_output.read_shards(spark, empty, ws.path("none")).count() == 0
@@ -507,11 +508,35 @@ def test_sequence(spark, tmp_path):
         out.add(b"\7\0")
         out.close()
     shard, want = binary_output.Shard(str(tmp_path), "s"), np.append(ids, [7, 0])
-    for k in (750, 0, 699, 700, 701, 1):
+    assert [len(x) for x in shard.batches()] == [1024, 477]  # equal batches, and a last one
+    for k in (750, 0, 511, 512, 700, 701, 1):
         got, mask = shard.sequence(k)
         assert got.tolist() == want[2 * k:2 * k + 2].tolist() and mask.to_pylist() == [True, k < 750] and not got.flags.owndata
-    with pytest.raises(IndexError):
-        shard.sequence(751)
+    for k in (751, 1024, 5000, -1):
+        with pytest.raises(IndexError):
+            shard.sequence(k)
+    assert binary_output.Shard(str(tmp_path), "s").sequence(600)[0].tolist() == [1201, 1202]  # without reading those before
+
+
+def test_shards_of_one_id(spark, monkeypatch):
+    """Rows that share an id are split over shards, and shards grow in number with the characters."""
+    monkeypatch.setattr(binary_output, "SHARD_CHARS", 500)
+    ws, path = Workspace(spark, "t"), tokenizer_path("word_bpe_49k.json")
+    docs = table(spark, [(None if i % 3 else 5, f"text of number {i}") for i in range(300)])
+    manifest = binary_output.write_shards(docs, ws.path("shards"), path).collect()
+    assert len(manifest) > 8 and max(r["n_docs"] for r in manifest) < 100
+    assert binary_output.read_shards(spark, manifest, ws.path("shards")).count() == 300
+
+
+def test_other_rules(tmp_path):
+    """A vocabulary with rules that aren't known is encoded by the library alone."""
+    stated = json.load(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8"))
+    stated["pre_tokenizer"]["add_prefix_space"] = True
+    path = f"{tmp_path}/other.json"
+    json.dump(stated, open(path, "w", encoding="utf-8"))
+    enc, texts = Encoder(path, "<u4"), [*ODD, "word by word"]
+    assert not enc.known and Encoder(tokenizer_path("byte_bpe_50k.json"), "<u4").known and Encoder(tokenizer_path("word_bpe_49k.json"), "<u2").known
+    assert enc.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_quality(spark):
