@@ -473,9 +473,31 @@ def test_packing(spark):
             at += r["length"]
         assert at <= 2048 and at & (at - 1) == 0 and at == parts[0]["seq_len"]
     assert all(len(s) == 1 for s in steps.values())
+    tokens, lengths = defaultdict(int), defaultdict(set)
+    for r in got:
+        tokens[r["step_id"]] += r["length"]
+        lengths[r["seq_len"]].add(r["step_id"])
+    for size, ids in lengths.items():  # full steps, and for each length a last one that isn't
+        short = [tokens[i] for i in ids if tokens[i] != packing.STEP_TOKENS]
+        assert all(n < packing.STEP_TOKENS for n in short) and len(short) <= 1 and (size >= 256 or len({r["sequence_id"] for r in got if r["seq_len"] == size}) == 1)
     assert packing.pack(table(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_rests(spark, monkeypatch):
+    """Rests of many tasks fill sequences and steps together; a tier's last steps share its sequences evenly."""
+    rows = [(i, "x " * (i * 37 % 300)) for i in range(400)]
+    pieces = packing.pack(table(spark, rows).repartition(40), tokenizer_path("byte_bpe_50k.json"), step_tokens=4096).collect()
+    total = sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
+    assert sum(r["length"] for r in pieces) == total and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+    size = {r["sequence_id"]: r["seq_len"] for r in pieces}
+    assert sum(size.values()) == total and sum(n < 256 for n in size.values()) <= 8
+    packer = packing.Packer(0, step_tokens=1000)
+    for k in range(7):
+        packer.open_steps.setdefault(256, []).append([(k, 0, 256, 0, 256, k, 0, 256, None)])
+    packer.close()
+    assert sorted(np.bincount([r[8] for r in packer.drain()]).tolist()) == [2, 2, 3]
+
+
 def test_binary(spark):
     rows = long_docs()
     ws = Workspace(spark, "t")
