@@ -5,8 +5,8 @@ shingles.  Texts with equal sets form one class, linked by definition; everythin
 below works between classes.
 
 1. *Profile.* One pass gives each text's set size and a 128-bit key of its set, and
-   a count sketch of all shingles: ``SKETCH`` counters in two rows, of fixed size
-   whatever the corpus, summed slice by slice.
+   a count sketch of all shingles: two rows of 2^20 to 2^22 counters, by the size of the
+   input, summed slice by slice.
 2. *Orders.* Every order puts shingles of a lower sketched count class first and
    breaks ties by a hash of its own.  A sketch error only changes the order, never
    the result: any fixed order gives a complete prefix filter.
@@ -15,13 +15,15 @@ below works between classes.
    texts are dealt over several tasks.
 4. *Candidates.* Classes that share a prefix shingle and pass the length and position
    bounds.  Blocks (the classes of one shingle) of up to ``PAIR_BLOCK`` classes emit
-   pairs; each pair must then pass a parity bitmap of its two sets, whose differing bits
+   pairs; of these, those stay whose prefixes share a shingle under every other order, too
+   (32 bits of each shingle are compared), and that pass a parity bitmap of the two sets, whose differing bits
    never outnumber the shingles that only one set has.  Larger blocks emit few edges,
    at most one per class: the components of their candidate pairs, or a star above
    ``SMALL_BLOCK`` classes.  The components of all edges are the candidate groups; no
    link crosses them.
 5. *Intersection and verification.* Within a group, a pair must share a prefix shingle
-   under every order; what passes is counted exactly on the sets.  A group is cut in
+   under every order; only pairs that pass are counted exactly on the sets: a few by merging, many by
+   a product over just the sets that have such a pair.  A group is cut in
    chunks of bounded size, and pairs of chunks are counted together, in one product:
    first each chunk with itself and with the group's first chunk, then, where a group
    still has several components, what lies outside its largest with all.  Tasks emit
@@ -47,8 +49,8 @@ from .shingles import mix, shingle_sets, text_blocks
 
 WIDTH = 4
 THRESHOLD = 85
-SKETCH_BITS = 20
-SKETCH = 2 << SKETCH_BITS
+SKETCH_BITS = (20, 22)
+CELL_BYTES = 1536  # of text for a counter of one row
 SLICES = 32
 ORDERS = 3
 SMALL_BLOCK = 512
@@ -61,14 +63,23 @@ CHUNK = 256
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _sketch_cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    return ((shingles >> np.uint64(8)) & mask).astype(np.int64), ((shingles >> np.uint64(34)) & mask).astype(np.int64) + (1 << SKETCH_BITS)
+def sketch_size(docs: DataFrame) -> int:
+    """Counters of the sketch by the planner's estimate of the input; any number gives the same links."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least, most = SKETCH_BITS
+    bits = least if size >= 1 << 60 else (size // CELL_BYTES).bit_length()  # so large: not known
+    return 2 << min(most, max(least, bits))
+
+
+def _sketch_cells(shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    half = size // 2
+    mask = np.uint64(half - 1)
+    return ((shingles >> np.uint64(8)) & mask).astype(np.int64), ((shingles >> np.uint64(34)) & mask).astype(np.int64) + half
 
 
 def _count(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
-    half = SKETCH // 2
-    for i, cells in enumerate(_sketch_cells(np.concatenate(sets))):
+    half = len(sketch) // 2
+    for i, cells in enumerate(_sketch_cells(np.concatenate(sets), len(sketch))):
         sketch[i * half:(i + 1) * half] += np.bincount(cells - i * half, minlength=half).astype(np.int32)
 
 
@@ -92,7 +103,7 @@ class Orders:
 
     def count(self, shingles: np.ndarray) -> np.ndarray:
         """Upper estimates of how many sets hold each shingle, in spreads of the sketch above its mean."""
-        one, two = _sketch_cells(shingles)
+        one, two = _sketch_cells(shingles, len(self.sketch))
         return (np.minimum(self.sketch[one], self.sketch[two]) - self.mean) / self.spread
 
     def keys(self, shingles: np.ndarray, counts: np.ndarray):
@@ -118,14 +129,15 @@ def profile(docs: DataFrame, ws: Workspace, width: int) -> tuple[DataFrame, np.n
     """((doc_id, n, key, k) of every row, the summed sketch); k is the key's first half as a number."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("k", pa.int64()),
                         ("slice", pa.int32()), ("cells", pa.binary())])
+    size = sketch_size(docs)
 
     def run(batches):
-        sketch, held = np.zeros(SKETCH, np.int32), []
+        sketch, held = np.zeros(size, np.int32), []
         for batch in batches:
             for row, data, offsets in text_blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 held += sets
-                if sum(map(len, held)) > SKETCH // 4:
+                if sum(map(len, held)) > 1 << 19:
                     _count(sketch, held)
                     held = []
                 keys = [set_key(s) if len(s) else None for s in sets]
@@ -143,8 +155,8 @@ def profile(docs: DataFrame, ws: Workspace, width: int) -> tuple[DataFrame, np.n
 
     both = ws.save(docs.mapInArrow(run, "doc_id long, n long, key binary, k long, slice int, cells binary"), "profile")
     sums = both.where("slice IS NOT NULL").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(_add_slices, "slice int, cells binary")
-    sketch = np.zeros((SLICES, SKETCH // SLICES), np.int64)
-    for r in sums.toLocalIterator():  # fixed size: SLICES rows
+    sketch = np.zeros((SLICES, size // SLICES), np.int64)
+    for r in sums.toLocalIterator():  # SLICES rows, 64 MB at most
         sketch[r["slice"]] += np.frombuffer(bytes(r["cells"]), "<i8")
     sketch = np.minimum(sketch, (1 << 31) - 1).astype(np.int32).reshape(-1)
     return both.where("slice IS NULL").select("doc_id", "n", "key", "k"), sketch
@@ -309,38 +321,65 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a != b))
 
 
-def class_bitmaps(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(k, n, bits) of the representatives (rep, class_key)."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+def class_filters(docs: DataFrame, reps: DataFrame, sketch, width: int, threshold: int) -> DataFrame:
+    """(k, n, bits, prefixes) of the representatives (rep, class_key).
+
+    ``prefixes`` holds 32 bits of each prefix shingle, for every order but the first, one after the other.
+    """
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("prefixes", pa.binary())])
 
     def run(batches):
+        orders = Orders(sketch.value)
+
+        def prefixes(shingles: np.ndarray) -> bytes:
+            p = prefix_length(len(shingles), threshold)
+            keys = list(orders.keys(shingles, orders.count(shingles)))[1:]
+            return b"".join(shingles[_first(k, p)].astype("<u4").tobytes() for k in keys)
+
         for batch in batches:
             for _, sets in _sets_of(batch, width):
                 yield pa.RecordBatch.from_pydict(
                     {"k": [short(set_key(s)) for s in sets], "n": [len(s) for s in sets],
-                     "bits": [np.packbits(bitmap(s)).tobytes() for s in sets]}, schema=schema)
-
-    return _rows_of(docs, reps).mapInArrow(run, "k long, n long, bits binary")
+                     "bits": [np.packbits(bitmap(s)).tobytes() for s in sets], "prefixes": [prefixes(s) for s in sets]}, schema=schema)
+
+    return _rows_of(docs, reps).mapInArrow(run, "k long, n long, bits binary, prefixes binary")
+
+
+def sharing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Whether the prefixes of each pair share a shingle under every order but the first."""
+    out = np.ones(len(left), bool)
+    for order in range(ORDERS - 1):
+        sides = []
+        for side in (left, right):
+            parts = [p[len(p) // (ORDERS - 1) * order: len(p) // (ORDERS - 1) * (order + 1)] for p in side]
+            owner = np.repeat(np.arange(len(side), dtype=np.uint64), [len(p) // 4 for p in parts])
+            sides.append(np.unique(owner << np.uint64(32) | np.frombuffer(b"".join(parts), "<u4")))
+        both = np.intersect1d(*sides, assume_unique=True) >> np.uint64(32)
+        met = np.zeros(len(left), bool)
+        met[both.astype(np.int64)] = True
+        out &= met
+    return out
 
 
-def pass_bitmaps(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets may be close enough by their bitmaps."""
-    left = bits.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = bits.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+def pass_filters(pairs: DataFrame, filters: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that share prefix shingles under all orders and may be close enough by their bitmaps."""
+    left = filters.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("prefixes").alias("pa"))
+    right = filters.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("prefixes").alias("pb"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b", "pa", "pb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(len(a)):
-                need = -(-threshold * (na[i] + nb[i]) // (100 + threshold))
-                u, v = (np.unpackbits(np.frombuffer(z[i], np.uint8)) for z in (x, y))
-                if differing(u, v) <= na[i] + nb[i] - 2 * need:
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep]), pa.array([b[i] for i in keep])], schema=schema)
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                a, b, na, nb, x, y, p, q = (c.to_pylist() for c in whole.slice(lo, 1024).columns)
+                keep = []
+                for i in np.flatnonzero(sharing(p, q)).tolist():
+                    need = -(-threshold * (na[i] + nb[i]) // (100 + threshold))
+                    u, v = (np.unpackbits(np.frombuffer(z[i], np.uint8)) for z in (x, y))
+                    if differing(u, v) <= na[i] + nb[i] - 2 * need:
+                        keep.append(i)
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep]), pa.array([b[i] for i in keep])], schema=schema)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -383,6 +422,41 @@ def _overlaps(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
     return total
 
 
+def _pair_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (a[i], b[i]) of sets."""
+    used = np.unique(np.concatenate([a, b]))
+    distinct, number = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    ends = np.cumsum([len(sets[i]) for i in used])
+    numbered = {i: number[e - len(sets[i]): e] for i, e in zip(used.tolist(), ends.tolist(), strict=True)}
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 512):
+        sides = []
+        for side in (a[lo:lo + 512].tolist(), b[lo:lo + 512].tolist()):
+            owner = np.repeat(np.arange(len(side)), [len(numbered[i]) for i in side])
+            sides.append(owner * len(distinct) + np.concatenate([numbered[i] for i in side]))
+        both = np.intersect1d(*sides, assume_unique=True) // len(distinct)
+        out[lo:lo + 512] = np.bincount(both, minlength=len(a[lo:lo + 512]))
+    return out
+
+
+def passing_counts(sets: list[np.ndarray], may: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, intersection sizes) of the pairs that ``may`` marks; its columns are sets[m:].
+
+    Few pairs are counted by merging their sets, many by a product over the sets that have a marked pair.
+    """
+    a, column = np.nonzero(may)
+    b = column + m
+    a, b = a[a < b], b[a < b]
+    if not len(a):
+        return a, b, a
+    size = np.array([len(s) for s in sets])
+    rows, columns = np.unique(a), np.unique(b)
+    if 16 * (size[a] + size[b]).sum() <= len(rows) * len(columns) * size[np.union1d(rows, columns)].max():
+        return a, b, _pair_counts(sets, a, b)
+    both = _overlaps([sets[i] for i in rows] + [sets[i] for i in columns], slice(0, len(rows)), slice(len(rows), None))
+    return a, b, both[np.searchsorted(rows, a), np.searchsorted(columns, b)]
+
+
 def _forest(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[int]:
     """Indices of pairs that form a spanning forest."""
     root = list(range(n))
@@ -428,14 +502,10 @@ def verify_chunks(rows: DataFrame, sketch, threshold: int, inside: bool) -> Data
         for held in prefixes:
             shared = _overlaps(held, left, right) > 0
             may = shared if may is None else may & shared
-        a = b = np.empty(0, np.int64)
-        if may.any():
-            n = np.array([len(s) for s in sets])
-            both = _overlaps(sets, left, right)
-            ok = may & (100 * both >= threshold * (n[left][:, None] + n[right] - both))
-            a, b = np.nonzero(ok)
-            b = b + m
-            a, b = a[a < b], b[a < b]
+        a, b, both = passing_counts(sets, may, m)
+        n = np.array([len(s) for s in sets])
+        linked = 100 * both >= threshold * (n[a] + n[b] - both)
+        a, b = a[linked], b[linked]
         keep = _forest(a, b, len(sets))
         x, y = reps[a[keep]], reps[b[keep]]
         return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
@@ -492,14 +562,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = ws.save(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     some = ws.save(classes.join(ids, "k", "left_semi").select("rep", F.col("key").alias("class_key")), "some")
-    bits = ws.save(class_bitmaps(docs, some, width), "bitmaps")
-    edges = pass_bitmaps(pairs, bits, threshold).unionByName(wide)
+    shared = spark.sparkContext.broadcast(sketch)  # 32 MB at most
+    filters = ws.save(class_filters(docs, some, shared, width, threshold), "filters")
+    edges = pass_filters(pairs, filters, threshold).unionByName(wide)
     group = connected_components(ws, edges, "groups").select(F.col("id").alias("k"), F.col("component").alias("grp"))
     files = 1 + group.count() // ROWS_A_FILE
     sizes = ws.save(group.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "sizes", files)
     member = ws.save(group.join(sizes, "grp"), "member", files)
     reps = ws.save(classes.join(member, "k").select("rep", F.col("key").alias("class_key"), "grp", "m"), "reps", files)
-    shared = spark.sparkContext.broadcast(sketch)  # SKETCH counters, a fixed size
     links = group_links(ws, ws.save(class_sets(docs, reps, width), "sets"), shared, threshold)
     # classes that share their smallest doc_id (rows repeating an id) meet in that id
     members = prof.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("key") < F.max("key")).alias("several")).where("several")
@@ -513,12 +583,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component; null ids stay."""
-    out = jaccard_components(docs, id_col, text_col, **how).where("doc_id <> component_id").select("doc_id")
-    return without(docs, out, id_col)
-
-
 def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Exactly one row of ``docs`` per component of rows, whatever the ids: the smallest id, null last."""
     ws = Workspace(docs.sparkSession, "rows")

@@ -99,8 +99,32 @@ def test_jaccard_edges(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table(spark, rows)).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (None, 2, None), (4, 0, 4)], key=str)
     assert jaccard_join.jaccard_components(table(spark, [])).count() == 0
-    kept = jaccard_join.one_of_each(clashing(table(spark, rows[2:])))
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 3, 4, None] and "rep" in kept.columns
+    kept = jaccard_join.one_row_of_each(clashing(table(spark, rows[2:])))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 3, 4] and "rep" in kept.columns
+
+
+def test_jaccard_filters():
+    """What passes the orders' filters holds every link, and both ways of counting agree."""
+    sketch = np.zeros(2 << 20, np.int32)
+    sets = [np.array(sorted(s), np.uint64) for s in ({hash(x) & (1 << 64) - 1 for x in sets_of(t, 4)} for t in near_texts()) if s]
+    jaccard_join._count(sketch, sets)
+    orders, threshold, n = jaccard_join.Orders(sketch), 85, len(sets)
+    prefixes = []
+    for s in sets:
+        keys = list(orders.keys(s, orders.count(s)))
+        prefixes.append([s[jaccard_join._first(k, jaccard_join.prefix_length(len(s), threshold))] for k in keys])
+    i, j = np.triu_indices(n, 1)
+    raw = [b"".join(p.astype("<u4").tobytes() for p in x[1:]) for x in prefixes]
+    got = jaccard_join.sharing([raw[x] for x in i], [raw[x] for x in j])
+    want = np.array([all(len(np.intersect1d(p, q)) for p, q in zip(prefixes[x][1:], prefixes[y][1:], strict=True)) for x, y in zip(i, j, strict=True)])
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    linked = 100 * both >= threshold * (np.array([len(s) for s in sets])[i] + np.array([len(s) for s in sets])[j] - both)
+    assert (got == want).all() and linked.sum() > 50 and (got | ~linked).all() and got.sum() < len(got) / 2
+    rng = np.random.default_rng(0)
+    for share in (0.001, 0.9):
+        may = rng.random((n, n)) < share
+        a, b, counts = jaccard_join.passing_counts(sets, may, 0)
+        assert len(a) == np.triu(may, 1).sum() and counts.tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)]
 
 
 def test_components(spark):
