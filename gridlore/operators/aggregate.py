@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.running import cumulate, positions, quantiles, store
 
 FUNCTIONS = ("count", "sum", "mean", "median", "min", "max", "unique", "std")
 JOINER = "\x1f"
+#: A pivot fills every row's missing cells, so its columns are bounded.
+PIVOT_COLUMNS = 16_384
 
 
 def measure(df: DataFrame, column: str, function: str) -> Column:
@@ -24,8 +27,12 @@ def measure(df: DataFrame, column: str, function: str) -> Column:
 
 def group_by(df: DataFrame, keys: list[str], column: str, functions=FUNCTIONS) -> DataFrame:
     """Groups by exact text keys with the chosen functions, in key order ignoring case."""
-    rows = df.groupBy(*[S.text(df, k).alias(k) for k in keys])
-    out = rows.agg(*[measure(df, column, f).alias(f) for f in functions])
+    named = [S.text(df, k).alias(k) for k in keys]
+    out = df.groupBy(*named).agg(*[measure(df, column, f).alias(f) for f in functions if f != "median"], F.count(F.lit(1)).alias("__rows"))
+    if "median" in functions:  # ranks over range partitions: a group's numbers are never held in one place
+        middle = quantiles(df.select(*named, S.number(df, column).alias("__v")), keys, "__v", (0.5,)).select(*keys, F.get("q", F.lit(0)).alias("median"))
+        out = out.join(middle, keys, "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    out = out.select(*keys, *functions)
     return out.orderBy(S.order_text(F.concat_ws(JOINER, *keys)), *keys)
 
 
@@ -53,9 +60,9 @@ def duplicate_rows(df: DataFrame, keys: list[str], row_col: str) -> DataFrame:
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """One row over finite numbers: count, min, max, mean, median, q1, q3, population std."""
     x = S.finite(S.number(df, column))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), q.alias("q"),
-                  F.stddev_pop(x).alias("std")).select(
+    one = df.agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    q = quantiles(df.select(x.alias("x")), [], "x", (0.25, 0.5, 0.75)).select("q")
+    return one.join(F.broadcast(q), F.lit(True), "left").select(  # one row each
         "count", "min", "max", "mean", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"), "std")
 
 
@@ -103,7 +110,12 @@ def pivot(df: DataFrame, rows: list[str], columns: list[str], value: str, functi
         return F.concat_ws(JOINER, *[pivot_key(df, c, units.get(c)) for c in names])
 
     cells = df.groupBy(joined(rows).alias("row_key"), joined(columns).alias("column_key")).agg(measure(df, value, function).cast("double").alias("value"))
-    frame = cells.select("row_key").distinct().join(cells.select("column_key").distinct())  # the table's own size
+    cells = store(cells)
+    columns_there = cells.select("column_key").distinct()
+    n = columns_there.limit(PIVOT_COLUMNS + 1).count()
+    if n > PIVOT_COLUMNS:
+        raise ValueError(f"a pivot of more than {PIVOT_COLUMNS} columns")
+    frame = cells.select("row_key").distinct().join(F.broadcast(columns_there))  # at most PIVOT_COLUMNS rows
     return frame.join(cells, ["row_key", "column_key"], "left").fillna(0.0, ["value"]).orderBy("row_key", "column_key")
 
 
@@ -139,14 +151,17 @@ def pivot_filter_values(df: DataFrame, column: str, order: str, unit: str | None
 def frequency(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """rank, value, count, percent, cumulative percent; blanks last; the cumulative runs over the listed rows."""
     counts = df.groupBy(S.text(df, column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
     order = [(F.col("value") == "").cast("int"), F.desc("count"), S.order_text(F.col("value")), F.col("value")]
-    listed = counts.join(F.broadcast(total)).orderBy(*order)  # total is one row
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))  # one row
     if limit:
-        listed = listed.limit(limit)
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values
-    return listed.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "value", "count", (F.col("count") / F.col("total") * 100).alias("percent"),
-                         (F.sum("count").over(running) / F.col("total") * 100).alias("cumulative_percent"))
+        listed = counts.orderBy(*order).limit(limit)
+        window = Window.orderBy(*order)  # over ``limit`` rows
+        listed = listed.select("value", "count", (F.row_number().over(window)).alias("rank"), F.sum("count").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    else:
+        ranked = positions(counts, order, "at")
+        listed = cumulate(ranked, [], ["at"], "count").select("value", "count", (F.col("at") + 1).alias("rank"), (F.col("before") + F.col("count")).alias("upto"))
+    return listed.join(total).select("rank", "value", "count", (F.col("count") / F.col("total") * 100).alias("percent"),
+                                     (F.col("upto") / F.col("total") * 100).alias("cumulative_percent"))
 
 
 def pareto(df: DataFrame, column: str, limit: int = 20) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.running import quantiles
 from . import aggregate, sorting
 
 KDE_POINTS = 128
@@ -26,10 +27,10 @@ def kde(df: DataFrame, column: str, points: int = KDE_POINTS, cap: int = KDE_ROW
     Values are sampled to ``cap`` and repeated ones counted first, so the sum runs
     over at most points * cap pairs.
     """
-    values = sorting.stride_sample(_values(df, column), ["x"], cap)
+    values = sorting.stride_sample(_values(df, column).withColumn("tie", F.monotonically_increasing_id()), ["x", "tie"], cap).select("x")
     counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))
-    stats = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"), q.alias("q")).where("n > 1 AND lo < hi")
+    q = F.broadcast(quantiles(values, [], "x", (0.25, 0.75)).select("q"))  # one row
+    stats = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd")).where("n > 1 AND lo < hi").join(q)
     iqr = (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / 1.34
     spread = F.when((iqr > 0) & (iqr < F.col("sd")), iqr).otherwise(F.col("sd"))
     stats = stats.withColumn("h", F.lit(0.9) * spread * F.pow("n", F.lit(-0.2)))
@@ -45,8 +46,7 @@ def box_plot(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """Per group: n, quartiles, whiskers (extreme values within 1.5 IQR), and outlier count."""
     key = S.text(df, group) if group else F.lit("")
     rows = df.select(key.alias("group"), S.finite(S.number(df, column)).alias("x")).where("x IS NOT NULL")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).select(
+    stats = quantiles(rows, ["group"], "x", (0.25, 0.5, 0.75)).select(
         "group", "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     inside = F.col("x").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     out = rows.join(stats, "group").groupBy("group", "n", "q1", "median", "q3").agg(
@@ -57,7 +57,7 @@ def box_plot(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
 def outliers(df: DataFrame, column: str, limit: int = OUTLIERS) -> DataFrame:
     """The first values outside the fences, ascending."""
     rows = _values(df, column)
-    q = F.broadcast(rows.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")))  # one row
+    q = F.broadcast(quantiles(rows, [], "x", (0.25, 0.75)).select("q"))  # one row
     iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
     out = rows.join(q).where((F.col("x") < F.get("q", F.lit(0)) - 1.5 * iqr) | (F.col("x") > F.get("q", F.lit(1)) + 1.5 * iqr))
     return out.select("x").orderBy("x").limit(limit)
@@ -108,7 +108,7 @@ def qq(df: DataFrame, column: str, cap: int = QQ_POINTS) -> DataFrame:
     """position, theoretical, sample: normal quantiles at Blom positions against sorted values."""
     values = _values(df, column)
     n = values.count()
-    placed = sorting.positions(values, ["x"], "i")
+    placed = sorting.positions(values.withColumn("tie", F.monotonically_increasing_id()), ["x", "tie"], "i").drop("tie")
     if n > cap:
         wanted = df.sparkSession.range(cap).select(F.floor(F.col("id") * (n - 1) / (cap - 1) + 0.5).cast("long").alias("i")).distinct()
         placed = placed.join(F.broadcast(wanted), "i")  # cap rows
@@ -135,9 +135,3 @@ def pivot_chart(long: DataFrame) -> tuple[str, DataFrame]:
     dated = keys.agg(F.bool_and(F.col("row_key").rlike(r"^\d{4}(-(\d{2}|W\d{2})(-\d{2})?)?$")).alias("d")).first()["d"]
     series = long.select("column_key").distinct().limit(2).count()
     return ("Line" if dated else "Grouped" if series > 1 else "Bar"), long.select(F.col("row_key").alias("category"), F.col("column_key").alias("series"), "value")
-
-
-def running_share(counts: DataFrame) -> DataFrame:
-    """value, count, share so far of a small table of counts."""
-    order = Window.orderBy(F.desc("count"), "value")
-    return counts.select("value", "count", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..functions.running import positions
 
 
 @dataclass(frozen=True)
@@ -65,29 +65,3 @@ def stride_sample(df: DataFrame, order: list, cap: int) -> DataFrame:
         return df.orderBy(*order).limit(cap)
     wanted = spark.range(cap).select(F.floor(F.col("id") * (n - 1) / (cap - 1) + 0.5).cast("long").alias("__at")).distinct()
     return positions(df, order, "__at").join(F.broadcast(wanted), "__at", "left_semi")  # cap rows
-
-
-def positions(df: DataFrame, order: list, name: str) -> DataFrame:
-    """0-based positions in a total order, without moving all rows to one task.
-
-    Rows are range-partitioned and sorted; partition sizes (one number each) are
-    summed on the driver and added to positions within partitions.
-    """
-    from pyspark.sql import Window
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, base = 0, []
-    for p in sorted(sizes):
-        base.append((p, start))
-        start += sizes[p]
-    if not base:
-        return ranged.withColumn(name, F.lit(None).cast("long")).drop("__part")
-    table = F.create_map(*[x for p, s in base for x in (F.lit(p), F.lit(s).cast("long"))])
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.withColumn(name, F.element_at(table, F.col("__part")) + within).drop("__part")
-
-
-def any_null(columns: list[Column]) -> Column:
-    return reduce(Column.__or__, [c.isNull() for c in columns])

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import tails
+from ..functions.running import cumulate, store
 
 SIGNIFICANT = 0.05
+#: Modes listed in a descriptive row; ``modes`` gives all.
+MODES = 20
+#: A contingency table lists every pair of categories, so one side is bounded.
+CATEGORIES = 16_384
 
 
 def interpretation(p: float) -> str:
@@ -32,22 +37,55 @@ class Test:
 
 
 def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column, in one pass: n, missing, mean, sd, se, min, quartiles, max, range, iqr, skew, kurtosis, cv."""
+    """One row per column: n, missing, mean with its 95 % interval, sd, se, min, quartiles, max, range, iqr, skew, kurtosis, cv, modes.
+
+    Moments take one pass; quartiles and modes come from the counts of distinct numbers.
+    """
     aggs = []
     for i, c in enumerate(columns):
         x = S.finite(S.number(df, c))
         aggs.append(F.struct(F.lit(i).alias("slot"), F.lit(c).alias("column"), F.count(x).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("missing"), F.avg(x).alias("mean"),
                              F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
-                             F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2")).alias(f"s{i}"))
+                             F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2")).alias(f"s{i}"))
     rows = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), S.finite(S.number(df, c)).alias("x")) for i, c in enumerate(columns)])).alias("s")).select("s.*").where("x IS NOT NULL")
+    counts = store(cells.groupBy("slot", "x").agg(F.count(F.lit(1)).alias("c")))
+    placed = cumulate(counts, ["slot"], ["x"], "c")
+    rows = rows.join(F.broadcast(_quartiles(placed)), "slot", "left").join(F.broadcast(_modes(counts)), "slot", "left")  # a row per column
+    criticals = {r["n"]: tails.t_critical(r["n"] - 1) for r in rows.select("n").distinct().collect() if r["n"] > 1}  # a row per column
+    critical = F.coalesce(F.element_at(F.create_map(*[F.lit(z) for pair in criticals.items() for z in pair]).cast("map<bigint,double>"), F.col("n")), F.lit(0.0)) if criticals else F.lit(0.0)
     n = F.col("n").cast("double")
     flat = F.coalesce(F.col("sd"), F.lit(0.0)) == 0
     skew = F.when((n > 2) & ~flat, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     kurt = F.when((n > 3) & ~flat, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3))).otherwise(0.0)
     q = [F.get("q", F.lit(i)) for i in range(3)]
-    return rows.select("slot", "column", "n", "missing", "mean", "sd", F.when(n > 0, F.col("sd") / F.sqrt(n)).alias("se"), "min", q[0].alias("q1"), q[1].alias("median"),
+    se = F.when(n > 0, F.col("sd") / F.sqrt(n))
+    return rows.select("slot", "column", "n", "missing", "mean", "sd", se.alias("se"), (F.col("mean") - critical * se).alias("ci_low"),
+                       (F.col("mean") + critical * se).alias("ci_high"), "min", q[0].alias("q1"), q[1].alias("median"),
                        q[2].alias("q3"), "max", (F.col("max") - F.col("min")).alias("range"), (q[2] - q[0]).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis"),
-                       F.when(F.col("mean") == 0, 0.0).otherwise(F.col("sd") / F.col("mean")).alias("cv")).orderBy("slot").drop("slot")
+                       F.when(F.col("mean") == 0, 0.0).otherwise(F.col("sd") / F.col("mean")).alias("cv"),
+                       F.coalesce("modes", F.expr("cast(array() as array<double>)")).alias("modes"), F.coalesce("mode_count", F.lit(0)).alias("mode_count")).orderBy("slot").drop("slot")
+
+
+def _quartiles(placed: DataFrame) -> DataFrame:
+    """slot, q of running counts (slot, x, c, before)."""
+    sizes = F.broadcast(placed.groupBy("slot").agg(F.sum("c").alias("total")))  # a row per column
+    both = placed.join(sizes, "slot")
+    ranks = [(F.col("total") - 1) * p for p in (0.25, 0.5, 0.75)]
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("c")), F.col("x")))
+
+    ends = both.groupBy("slot", "total").agg(*[at(F.floor(r)).alias(f"l{i}") for i, r in enumerate(ranks)], *[at(F.ceil(r)).alias(f"h{i}") for i, r in enumerate(ranks)])
+    return ends.select("slot", F.array(*[F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * (r - F.floor(r)) for i, r in enumerate(ranks)]).alias("q"))
+
+
+def _modes(counts: DataFrame, most: int = MODES) -> DataFrame:
+    """slot, modes, mode_count: the first ``most`` values of the highest count, none if no value repeats."""
+    best = F.broadcast(counts.groupBy("slot").agg(F.max("c").alias("mode_count")).where("mode_count > 1"))  # a row per column
+    top = counts.join(best, "slot").where("c = mode_count")
+    ranked = top.withColumn("r", F.row_number().over(Window.partitionBy("slot").orderBy("x"))).where(F.col("r") <= most)
+    return ranked.groupBy("slot", "mode_count").agg(F.array_sort(F.collect_list("x")).alias("modes"))  # at most ``most`` values
 
 
 def confidence_interval(mean: float, se: float, n: int, level: float = 0.95) -> tuple[float, float]:
@@ -85,20 +123,8 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, column: str) -> DataFrame:
-    spark = rows.sparkSession
     counts = rows.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()).persist()
-    base = counts.groupBy("part").agg(F.sum("c").alias("s")).collect()  # one number per partition
-    before, total = {}, 0
-    for r in sorted(base, key=lambda r: r["part"]):
-        before[r["part"]] = total
-        total += r["s"]
-    if not before:
-        return rows
-    start = F.element_at(F.create_map(*[z for p, s in before.items() for z in (F.lit(p), F.lit(s).cast("long"))]), F.col("part"))
-    running = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    table = counts.select("v", (start + running - (F.col("c") - 1) / 2).alias("rank"))
+    table = cumulate(counts, [], ["v"], "c").select("v", (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
     other = [c for c in rows.columns if c != column]
     return rows.join(table, rows[column] == table["v"]).select(F.col("rank").alias(column), *other)
 
@@ -158,20 +184,27 @@ def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """row, column, observed, expected for every pair of categories."""
     kept = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
     cells = kept.groupBy(S.text(df, rows).alias("row"), S.text(df, columns).alias("column")).agg(F.count(F.lit(1)).alias("observed"))
+    cells = store(cells)
     by_row = cells.groupBy("row").agg(F.sum("observed").alias("rt"))
     by_column = cells.groupBy("column").agg(F.sum("observed").alias("ct"))
     total = F.broadcast(cells.agg(F.sum("observed").alias("total")))  # one row
-    frame = by_row.join(by_column).join(total)  # the table's own size
+    if by_column.limit(CATEGORIES + 1).count() > CATEGORIES:
+        raise ValueError(f"a table of more than {CATEGORIES} columns")
+    frame = by_row.join(F.broadcast(by_column)).join(total)  # at most CATEGORIES rows
     return frame.join(cells, ["row", "column"], "left").select("row", "column", F.coalesce("observed", F.lit(0)).alias("observed"),
                                                               (F.col("rt") * F.col("ct") / F.col("total")).alias("expected")).orderBy("row", "column")
 
 
 def chi_square(df: DataFrame, rows: str, columns: str) -> DataFrame:
-    """statistic, df, n of a test of independence."""
-    off = F.col("observed") - F.col("expected")
-    return contingency(df, rows, columns).agg(
-        F.coalesce(F.sum(F.when(F.col("expected") > 0, off * off / F.col("expected"))), F.lit(0.0)).alias("statistic"),
-        ((F.count_distinct("row") - 1) * (F.count_distinct("column") - 1)).alias("df"), F.coalesce(F.sum("observed"), F.lit(0)).alias("n"))
+    """statistic, df, n of a test of independence, from the cells that hold rows: n (sum o^2 / (r c) - 1)."""
+    kept = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
+    cells = store(kept.groupBy(S.text(df, rows).alias("row"), S.text(df, columns).alias("column")).agg(F.count(F.lit(1)).alias("o")))
+    by_row = cells.groupBy("row").agg(F.sum("o").alias("rt"))
+    by_column = cells.groupBy("column").agg(F.sum("o").alias("ct"))
+    share = F.col("o") * F.col("o") / (F.col("rt") * F.col("ct"))
+    out = cells.join(by_row, "row").join(by_column, "column").agg(F.sum(share).alias("s"), F.coalesce(F.sum("o"), F.lit(0)).alias("n"),
+                                                                  ((F.count_distinct("row") - 1) * (F.count_distinct("column") - 1)).alias("df"))
+    return out.select(F.coalesce(F.greatest(F.lit(0.0), F.col("n") * (F.col("s") - 1)), F.lit(0.0)).alias("statistic"), "df", "n")
 
 
 def chi_square_test(df: DataFrame, rows: str, columns: str) -> Test:

@@ -142,8 +142,3 @@ class ViewStore:
         data = self._load()
         data[source] = [v for v in data.get(source, []) if name is not None and v["name"] != name]
         self._save({k: v for k, v in data.items() if v})
-
-
-def text_filter(df: DataFrame, text: str) -> DataFrame:
-    """Rows by a text condition, an expression or plain contains."""
-    return df.where(filters.condition(df, text))

@@ -329,14 +329,25 @@ def facet_histogram(spark, d):
 
 _N = "count(x)::DOUBLE"
 _DESCRIBE = """SELECT '{c}' AS "column", count(x) AS n, count(*) - count(x) AS missing, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd,
-  round(stddev_samp(x) / sqrt(count(x)), 4) AS se, round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.5), 4) AS median,
+  round(stddev_samp(x) / sqrt(count(x)), 4) AS se, round(avg(x) - ({t}) * stddev_samp(x) / sqrt(count(x)), 4) AS ci_low,
+  round(avg(x) + ({t}) * stddev_samp(x) / sqrt(count(x)), 4) AS ci_high, round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.5), 4) AS median,
   round(quantile_cont(x, 0.75), 4) AS q3, round(max(x), 4) AS max, round(max(x) - min(x), 4) AS range, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) AS iqr,
-  round(skewness(x), 4) + 0.0 AS skewness, round(kurtosis(x), 4) + 0.0 AS kurtosis, round(stddev_samp(x) / avg(x), 4) AS cv FROM (SELECT {c} AS x FROM lineitem)"""
+  round(skewness(x), 4) + 0.0 AS skewness, round(kurtosis(x), 4) + 0.0 AS kurtosis, round(stddev_samp(x) / avg(x), 4) AS cv,
+  (SELECT array_to_string(list(printf('%.4f', v) ORDER BY v), ',') FROM (SELECT v, k FROM m{c} WHERE k > 1 AND k = (SELECT max(k) FROM m{c}) ORDER BY v LIMIT 20)) AS modes,
+  (SELECT CASE WHEN max(k) > 1 THEN max(k) ELSE 0 END FROM m{c}) AS mode_count FROM (SELECT {c} AS x FROM lineitem)"""
+#: The value that 95 % of a t distribution lies within, by its expansion for many degrees of freedom.
+_Z = 1.959963984540054
+_CRITICAL = "{z} + ({z}^3 + {z}) / 4 / {v} + (5 * {z}^5 + 16 * {z}^3 + 3 * {z}) / 96 / {v}^2 + (3 * {z}^7 + 19 * {z}^5 + 17 * {z}^3 - 15 * {z}) / 384 / {v}^3"
 
 
-@query(" UNION ALL ".join(_DESCRIBE.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+_DESCRIBED = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("WITH " + ", ".join(f"m{c} AS (SELECT {c} AS v, count(*) AS k FROM lineitem GROUP BY 1)" for c in _DESCRIBED) + " "
+       + " UNION ALL ".join(_DESCRIBE.format(c=c, t=_CRITICAL.format(z=_Z, v="(count(x) - 1)")) for c in _DESCRIBED))
 def descriptive(spark, d):
-    return rounded(T.descriptive(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    out = rounded(T.descriptive(table(spark, d, "lineitem"), list(_DESCRIBED)))
+    return out.withColumn("modes", F.when(F.size("modes") > 0, F.array_join(F.transform("modes", lambda x: F.format_string("%.4f", x)), ",")))
 
 
 @query("""WITH c AS (SELECT l_quantity AS mode, count(*) AS count FROM lineitem GROUP BY 1) SELECT mode, count FROM c WHERE count = (SELECT max(count) FROM c) AND count > 1""")
