@@ -1,23 +1,33 @@
 """Delimited text: encoding and delimiter detection, records, headers.
 
-Files without quotes are split like any text file.  A file with quotes is one state
-machine from its first byte, so it is parsed by one task (files up to 2 GB); several
-files are parsed side by side.
+A file is read in Spark's splits, side by side.  One pass counts lines and looks for
+quotes.  Without quotes lines are records and are split by Spark itself.  With quotes a
+second pass follows each split from both states it may begin in, outside or inside a
+quoted field; the driver chains these results, a row per split, so every split's state
+and first row number are known.  The third pass parses the splits; the few records
+that cross splits are put together from their pieces.  Nothing is shuffled but those.
 """
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.running import store
+
 PROBE = 1 << 20
+SIDE_PROBE = 1 << 16
 DELIMITERS = (",", ";", "\t", "|")
 HEADER_LINES = 4
 LONG_RECORD = 100
+HELD = 1 << 20
 
 
 class UnsupportedEncoding(ValueError):
@@ -55,16 +65,42 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_head(spark: SparkSession, path: str, size: int = PROBE) -> bytes:
-    """The first bytes of a file, wherever Spark can read it."""
+def read_head(spark: SparkSession, path: str, size: int = PROBE, start: int = 0) -> bytes:
+    """The first bytes of a file, or those from ``start`` on, wherever Spark can read it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
     try:
+        stream.seek(start)
         return bytes(stream.readNBytes(size))
     finally:
         stream.close()
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
+
+
+def valid_utf8(probe: bytes) -> bool:
+    """Whether bytes cut out of a file are UTF-8; a character may be cut at either end."""
+    begin = next((i for i in range(min(4, len(probe))) if probe[i] & 0xC0 != 0x80), 0)
+    try:
+        probe[begin:].decode("utf-8")
+    except UnicodeDecodeError as problem:
+        return problem.start >= len(probe) - begin - 3 and problem.reason == "unexpected end of data"
+    return True
+
+
+def probe_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding by the file's beginning, and by probes in its middle and at its end where the beginning reads as UTF-8."""
+    found = detect_encoding(read_head(spark, path))
+    size = file_size(spark, path)
+    if found != "utf-8" or size <= PROBE:
+        return found
+    sides = (read_head(spark, path, SIDE_PROBE, max(0, at)) for at in (size // 2, size - SIDE_PROBE))
+    return "utf-8" if all(map(valid_utf8, sides)) else "cp949"
+
+
 def detect_encoding(head: bytes) -> str:
     """utf-8, utf-8-sig or cp949; UTF-16 and UTF-32 are recognised and refused."""
     if head.startswith(b"\xef\xbb\xbf"):
@@ -164,64 +200,315 @@ def read_header(head: str, delimiter: str) -> tuple[list[str], bool]:
 
 
 def open_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header: bool = True) -> Table:
-    """Open a delimited file as a Table; nothing but the first mebibyte is read now."""
-    raw = read_head(spark, path)
-    encoding = encoding or detect_encoding(raw)
-    head = raw.decode(encoding, "replace")
+    """Open a delimited file as a Table; its splits are indexed now, its cells are read when asked for."""
+    encoding = encoding or probe_encoding(spark, path)
+    head = read_head(spark, path).decode(encoding, "replace")
     delimiter = delimiter or detect_delimiter(head)
     names, damaged = read_header(head, delimiter)
     if not header:
         names = [""] * len(names)
-    quoted = '"' in head
-    rows = _whole(spark, path, encoding, delimiter, damaged) if quoted or encoding == "cp949" else _lines(spark, path, delimiter)
+    warnings = ["the header's quotes are damaged; its first line was used"] if damaged else []
+    blocks = _line_counts(spark, path)
+    if not blocks:
+        rows = spark.createDataFrame([], "_row long, _fields array<string>")
+    elif any(b["quoted"] for b in blocks) or encoding not in ("utf-8", "utf-8-sig"):
+        rows, problem = _quoted(spark, path, encoding, delimiter, blocks, damaged)
+        warnings += [problem] if problem else []
+    else:
+        rows = _plain(spark, path, delimiter, blocks)
     if header:
         rows = rows.where("_row > 0")
     else:
         rows = rows.withColumn("_row", F.col("_row") + 1)
     df = rows.select("_row", "_fields", *[F.get("_fields", F.lit(i)).alias(f"c{i}") for i in range(len(names))])
-    return Table(df, names, encoding, delimiter, ["the header's quotes are damaged; its first line was used"] if damaged else [])
+    return Table(df, names, encoding, delimiter, warnings)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, f, b, i): lines with their split's file and first byte, and a number that grows within the split."""
+    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"),
+                                        F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
 
 
-def _lines(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """(_row from 0, _fields) of a quote-free file, numbered across its splits."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("f"),
-                                         F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    counts = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n")).orderBy("f", "b").collect()  # one row per split
-    start, base = 0, []
-    for r in counts:
-        base += [F.lit(f"{r['f']}#{r['b']}"), F.lit(start).cast("long")]
+def _line_counts(spark: SparkSession, path: str) -> list:
+    """(f, b, n, first, quoted) of every split that has lines, in file order."""
+    found = _lines(spark, path).groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"), F.max(F.contains("line", F.lit('"'))).alias("quoted"))
+    return found.orderBy("f", "b").collect()
+
+
+def _plain(spark: SparkSession, path: str, delimiter: str, blocks: list) -> DataFrame:
+    """(_row from 0, _fields) of quote-free files: a line's row follows from its split's first row."""
+    start, rows = 0, []
+    for r in blocks:
+        rows.append((r["f"], r["b"], start - r["first"]))
         start += r["n"]
-    if not base:
-        return spark.createDataFrame([], "_row long, _fields array<string>")
-    first = F.element_at(F.create_map(*base), F.concat_ws("#", "f", F.col("b").cast("string")))
-    within = F.row_number().over(Window.partitionBy("f", "b").orderBy("i")) - 1
-    bare = F.when((first + within) == 0, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line"))
-    return lines.select((first + within).alias("_row"), F.split(bare, "\\Q" + delimiter + "\\E", -1).alias("_fields"))
+    base = F.broadcast(spark.createDataFrame(rows, "f string, b long, base long"))  # a row per split
+    lines = _lines(spark, path).join(base, ["f", "b"])
+    row = F.col("base") + F.col("i")
+    bare = F.when(row == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    return lines.select(row.alias("_row"), F.split(bare, "\\Q" + delimiter + "\\E", -1).alias("_fields"))
+
+
+class QuoteState:
+    """Whether a line leaves a record open: a quote opens a field only at the field's start."""
+
+    def __init__(self, delimiter: str):
+        self.closing = re.compile(r'[^"]*(?:""[^"]*)*"(?!")')
+        self.opening = delimiter + '"'
+        self.delimiter = delimiter
+
+    def after(self, line: str, inside: bool) -> bool:
+        """The state at the line's end."""
+        at = 0
+        if not inside:
+            at = 0 if line.startswith('"') else self._next(line, 0)
+            if at < 0:
+                return False
+            at += 1
+        while True:
+            closed = self.closing.match(line, at)
+            if not closed:
+                return True
+            at = self._next(line, closed.end())
+            if at < 0:
+                return False
+            at += 1
+
+    def _next(self, line: str, at: int) -> int:
+        """The place of the next quote that opens a field."""
+        found = line.find(self.opening, at)
+        return found + 1 if found >= 0 else -1
+
+
+_SPLIT = "f string, b long, out_n long, out_end boolean, out_lines long, out_last long, out_open string, in_n long, in_end boolean, in_lines long, in_last long, in_first long, in_open string, lead string"
+
+
+def _both_states(path_lines: DataFrame, encoding: str, delimiter: str) -> DataFrame:
+    """One row per split: records begun, state at the end, lines of the longest record, and the text of a record left
+    open, from either state; ``lead`` is what a split that begins inside gives to the record before it.  Texts of more
+    than ``HELD`` characters are null: ``_long_texts`` reads them where they are wanted."""
+    names = [c.split()[0] for c in _SPLIT.split(", ")]
+
+    class Way:
+        def __init__(self, inside: bool):
+            self.inside, self.n, self.lines, self.longest, self.first = inside, 0, 0, 0, None
+            self.text: list[str] | None = []
+            self.lead: list[str] | None = [] if inside else None
+            self.size = 0
+
+        def hold(self, text: str) -> None:
+            """Keep a line of the open record, or of the lead, while there are few."""
+            leading = self.n == 0
+            self.size += len(text) + 1
+            if self.size > HELD:
+                if leading:
+                    self.lead = None
+                else:
+                    self.text = None
+            elif leading and self.lead is not None:
+                self.lead.append(text)
+            elif not leading and self.text is not None:
+                self.text.append(text)
+
+        def wants(self) -> bool:
+            return self.inside and (self.lead if self.n == 0 else self.text) is not None
+
+        def plain(self, n: int) -> None:
+            """Lines without quotes."""
+            if self.inside:
+                self.lines += n
+            else:
+                self.n += n
+                self.lines = 1
+
+        def line(self, text: str, state: QuoteState) -> None:
+            if not self.inside:
+                self.n, self.lines, self.text, self.size = self.n + 1, 0, [], 0
+            self.hold(text)
+            self.inside = state.after(text, self.inside)
+            self.lines += 1
+            self._closed()
+
+        def _closed(self) -> None:
+            if not self.inside:
+                if self.n == 0 and self.first is None:
+                    self.first = self.lines
+                self.longest = max(self.longest, self.lines)
 
+    def run(batches):
+        state = QuoteState(delimiter)
+        here, ways, held = None, (), []
+
+        def done():
+            out, inn = ways
+            opened = ["\n".join(w.text) if w.inside and w.n and w.text is not None else None for w in ways]
+            lead = "\n".join(inn.lead) if inn.lead is not None else None
+            return (*here, out.n, out.inside, max(out.longest, out.lines), out.lines, opened[0], inn.n, inn.inside, max(inn.longest, inn.lines), inn.lines, inn.first, opened[1], lead)
 
-def _whole(spark: SparkSession, path: str, encoding: str, delimiter: str, damaged: bool) -> DataFrame:
-    """(_row from 0, _fields) of files parsed from their first byte."""
+        for batch in batches:
+            raw = batch.column(2)
+            marked = pc.match_substring(raw, '"').to_pylist()
+            files, starts = batch.column(0), batch.column(1)
+            at, size = 0, len(batch)
+            while at < size:
+                key = (files[at].as_py(), starts[at].as_py())
+                stop = at + 1
+                while stop < size and starts[stop].as_py() == key[1] and files[stop].as_py() == key[0]:
+                    stop += 1
+                if key != here:
+                    if here is not None:
+                        held.append(done())
+                    here, ways = key, (Way(False), Way(True))
+                for i in range(at, stop):
+                    if not marked[i]:
+                        text = None
+                        for w in ways:
+                            if w.wants():
+                                text = raw[i].as_py().decode(encoding, "replace") if text is None else text
+                                w.hold(text)
+                            w.plain(1)
+                        continue
+                    text = raw[i].as_py().decode(encoding, "replace")
+                    for w in ways:
+                        w.line(text, state)
+                at = stop
+        if here is not None:
+            held.append(done())
+        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*held, strict=True), strict=True)) if held else {n: [] for n in names}, schema=schema)
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SPLIT.split(", ")])
+    return path_lines.select("f", "b", F.col("line").cast("binary").alias("line")).mapInArrow(run, _SPLIT)
+
+
+def _quoted(spark: SparkSession, path: str, encoding: str, delimiter: str, blocks: list, damaged: bool) -> tuple[DataFrame, str | None]:
+    """((_row from 0, _fields), warning) of files with quotes or of another encoding."""
+    lines = _lines(spark, path)
+    if damaged:  # the header is the first line, whatever its quotes
+        lines = lines.where((F.col("b") > 0) | (F.col("i") != blocks[0]["first"]) | (F.col("f") != blocks[0]["f"]))
+    states = store(_both_states(lines, encoding, delimiter))
+    numbers = states.select("f", "b", "out_n", "out_end", "out_lines", "out_last", "in_n", "in_end", "in_lines", "in_last", "in_first", F.col("lead").isNull().alias("no_lead"),
+                            F.col("in_open").isNull().alias("no_in"), F.col("out_open").isNull().alias("no_out")).orderBy("f", "b").collect()
+    row, inside, previous, problem, carry = int(damaged), False, None, None, 0
+    plan, long = [], []
+    for r in numbers:  # a row per split
+        if r["f"] != previous:
+            if inside:
+                problem = "the file ends inside quotes"
+            inside, carry = False, 0
+        plan.append((r["f"], r["b"], row, inside))
+        longest = r["in_lines"] if inside else r["out_lines"]
+        if inside:
+            longest = max(longest, carry + (r["in_first"] or r["in_last"]))
+        if longest > LONG_RECORD and not problem:
+            problem = f"a record spans {longest} lines"
+        if inside:
+            carry = r["in_last"] + (0 if r["in_n"] else carry)
+        else:
+            carry = r["out_last"]
+        begun, ends = (r["in_n"], r["in_end"]) if inside else (r["out_n"], r["out_end"])
+        lead_row = row - 1 if inside and r["no_lead"] else None
+        open_row = row + begun - 1 if ends and begun and (r["no_in"] if inside else r["no_out"]) else None
+        if lead_row is not None or open_row is not None:
+            long.append((r["f"], r["b"], inside, lead_row, open_row))
+        row += r["in_n"] if inside else r["out_n"]
+        inside, previous = (r["in_end"] if inside else r["out_end"]), r["f"]
+    if inside:
+        problem = "the file ends inside quotes"
+    plan_rows = F.broadcast(spark.createDataFrame(plan, "f string, b long, row long, inside boolean"))  # a row per split
     schema = pa.schema([("_row", pa.int64()), ("_fields", pa.list_(pa.string()))])
+    parsed = lines.join(plan_rows, ["f", "b"]).select("f", "b", "row", "inside", F.col("line").cast("binary").alias("line"))
 
+    def parse(batches):
+        csv.field_size_limit((1 << 31) - 1)
+        state = QuoteState(delimiter)
+        here, number, inside, skipping, held = None, 0, False, False, []
+
+        def rows(texts):
+            for fields in csv.reader(texts, delimiter=delimiter):
+                yield fields or [""]
+
+        for batch in batches:
+            raw, whole_lines, places = batch.column(4).to_pylist(), [], []
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            first, starts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, line in enumerate(raw):
+                if keys[i] != here:
+                    here, number, inside, skipping, held = keys[i], first[i], starts[i], starts[i], []
+                text = line.decode(encoding, "replace")
+                inside = state.after(text, inside) if b'"' in line else inside
+                if skipping:  # belongs to a record of an earlier split
+                    skipping = inside
+                    continue
+                held.append(text + "\n")
+                if not inside:
+                    whole_lines += held
+                    places.append(number)
+                    number += 1
+                    held = []
+            if places and places[0] == 0:
+                whole_lines[0] = whole_lines[0].removeprefix("\ufeff")
+            out = list(rows(whole_lines))
+            for lo in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(places[lo:lo + 10_000], pa.int64()), pa.array(out[lo:lo + 10_000], pa.list_(pa.string()))], schema=schema)
+
+    inner = parsed.mapInArrow(parse, "_row long, _fields array<string>")
+    # records that cross splits: what the split they begin in leaves open, then the leads of those that follow
+    at = states.join(plan_rows, ["f", "b"])
+    begun = F.when(F.col("inside"), F.col("in_open")).otherwise(F.col("out_open"))
+    begun_n = F.when(F.col("inside"), F.col("in_n")).otherwise(F.col("out_n"))
+    pieces = at.select((F.col("row") + begun_n - 1).alias("_row"), "f", "b", begun.alias("text")).where("text IS NOT NULL")
+    pieces = pieces.unionByName(at.where("inside AND lead IS NOT NULL").select((F.col("row") - 1).alias("_row"), "f", "b", F.col("lead").alias("text")))
+    if long:
+        wanted = F.broadcast(spark.createDataFrame(long, "f string, b long, inside boolean, lead_row long, open_row long"))  # a row per split
+        pieces = pieces.unionByName(_long_texts(lines.join(wanted, ["f", "b"]), encoding, delimiter))
+
+    def join(key, table):
+        table = table.sort_by([("f", "ascending"), ("b", "ascending")])
+        fields = next(records("\n".join(table.column("text").to_pylist()).removeprefix("\ufeff" if key[0].as_py() == 0 else ""), delimiter), ([""], 1, True))[0]
+        return pa.table({"_row": pa.array([key[0].as_py()], pa.int64()), "_fields": pa.array([fields], pa.list_(pa.string()))}, schema=schema)
+
+    crossing = pieces.groupBy("_row").applyInArrow(join, "_row long, _fields array<string>")
+    out = inner.unionByName(crossing)
+    if damaged:
+        title = read_head(spark, path).decode(encoding, "replace").splitlines()[0].split(delimiter)
+        out = out.unionByName(spark.createDataFrame([(0, title)], "_row long, _fields array<string>"))
+    return out, problem
+
+
+def _long_texts(lines: DataFrame, encoding: str, delimiter: str) -> DataFrame:
+    """(_row, f, b, text) of the lead and the open record of splits, where a row asks for them; such a text is one cell."""
     def run(batches):
+        state = QuoteState(delimiter)
+        here, inside, leading, lead, opened, rows = None, False, False, None, [], (None, None)
+
+        def done():
+            out = [(rows[0], *here, "\n".join(lead or []))] if rows[0] is not None else []
+            return out + ([(rows[1], *here, "\n".join(opened))] if rows[1] is not None else [])
+
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                text = content.decode(encoding, "replace")
-                first = 0
-                if damaged:
-                    line = text.splitlines(keepends=True)[0]
-                    text, first = text[len(line):], 1
-                held: list[list[str]] = []
-                for fields, _, _ in records(text, delimiter):
-                    held.append(fields)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(held)), pa.int64()), pa.array(held, pa.list_(pa.string()))], schema=schema)
-                        first += len(held)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(held)), pa.int64()), pa.array(held, pa.list_(pa.string()))], schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "_row long, _fields array<string>")
+            found = []
+            for f, b, line, begins, lead_row, open_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (f, b) != here:
+                    found += done() if here else []
+                    here, inside, leading, lead, opened, rows = (f, b), begins, begins, [], [], (lead_row, open_row)
+                text = line.decode(encoding, "replace")
+                if leading:
+                    lead.append(text)
+                else:
+                    opened = opened if inside else []
+                    opened.append(text)
+                inside = state.after(text, inside) if b'"' in line else inside
+                leading = leading and inside
+            yield batch_of(found)
+        yield batch_of(done() if here else [])
+
+    schema = pa.schema([("_row", pa.int64()), ("f", pa.string()), ("b", pa.int64()), ("text", pa.string())])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema.types, strict=True)], schema=schema)
+
+    return lines.select("f", "b", F.col("line").cast("binary").alias("line"), "inside", "lead_row", "open_row").mapInArrow(run, "_row long, f string, b long, text string")
 
 
 def quote_damage(text: str, delimiter: str = ",") -> str | None:

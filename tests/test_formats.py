@@ -1,5 +1,6 @@
 """System files, legacy spreadsheets, pasted paths and reports."""
 
+import random
 import struct
 import zlib
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlore.operators import report as R
 from gridlore.operators.profile import column_statistics
+from gridlore.sources import delimited as D
 from gridlore.sources import formats, spss, xls
 from gridlore.sources.workbooks import ImportLimit, Limits
 
@@ -174,3 +176,72 @@ def test_reports(spark):
     assert got.numeric == "n" and got.date == "d" and got.group == "g" and got.pair == ("g0|", "g1|")
     assert R.measures_for("Text") == ("count", "unique") and R.filter_choice("Date") == "range"
     assert R.quality_report(df.where(F.lit(False)), ["g"], "none").score == 100
+
+
+def as_records(text, delimiter=","):
+    return [f for f, _, _ in D.records(text.replace("\r\n", "\n").replace("\r", "\n"), delimiter)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def read_rows(t):
+    rows = sorted((r["_row"], list(r["_fields"])) for r in t.df.select("_row", "_fields").collect())
+    assert [n for n, _ in rows] == list(range(1, len(rows) + 1))
+    return [f for _, f in rows]
+
+
+@pytest.mark.parametrize("held", [1 << 20, 10])
+def test_quotes_over_splits(spark, tmp_path, small_splits, monkeypatch, held):
+    """Quoted fields that cross one or many splits, from either state, against the record parser."""
+    monkeypatch.setattr(D, "HELD", held)
+    rng = random.Random(21)
+    for k in (0, 3, 5):
+        parts = ["h1,h2,h3"]
+        for _ in range(40):
+            cells = []
+            for _ in range(rng.randint(1, 3)):
+                plain = "".join(rng.choice("ab \"x") for _ in range(rng.randint(0, 6))).lstrip('"')
+                inner = "".join(rng.choice(["a", "b,", "\n", '""', "c", "\r\n"]) for _ in range(rng.randint(0, 120 if rng.random() < 0.1 else 6)))
+                cells.append(rng.choice([plain, f'"{inner}"', f'"{inner}"tail', ""]))
+            parts.append(",".join(cells))
+        text = "\n".join(parts) + ('\n"never closed\nto the end' if k == 5 else "\n")
+        path = tmp_path / f"q{k}.csv"
+        path.write_bytes(text.encode())
+        t = D.open_delimited(spark, str(path))
+        assert read_rows(t) == as_records(text)[1:]
+        assert bool(t.warnings) == (k == 5)
+
+
+def test_late_quote_and_encoding(spark, tmp_path):
+    """What the first bytes don't show: a quote, and another encoding."""
+    lines = ["id,a,b", *(f"{i},plain text of some length,more" for i in range(60_000))]
+    quoted = "\n".join([*lines, '900001,"x,y",z', '900002,"line1\nline2",z']) + "\n"
+    (tmp_path / "late.csv").write_text(quoted)
+    t = D.open_delimited(spark, f"{tmp_path}/late.csv")
+    got = {r["c0"]: r["c1"] for r in t.df.where("_row > 60000").collect()}
+    assert t.df.count() == 60_002 and got == {"900001": "x,y", "900002": "line1\nline2"} and t.warnings == []
+    (tmp_path / "late949.csv").write_bytes(("\n".join(lines) + "\n900001,한국어,z\n").encode("cp949"))
+    t = D.open_delimited(spark, f"{tmp_path}/late949.csv")
+    assert t.encoding == "cp949" and t.df.where("c0 = '900001'").first()["c1"] == "한국어" and t.df.count() == 60_001
+    (tmp_path / "late8.csv").write_text("\n".join(lines) + "\n900001,한국어,z\n")
+    assert D.open_delimited(spark, f"{tmp_path}/late8.csv").encoding == "utf-8"
+
+
+def test_quote_warnings(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_text('name,note\nAlice,"never closed\nmore\nlines\n')
+    assert D.open_delimited(spark, str(path)).warnings == ["the file ends inside quotes"]
+    path.write_text('name,note\nAlice,"oops\n' + "".join(f"row{i},x\n" for i in range(150)) + 'closed"\nBob,ok\n')
+    t = D.open_delimited(spark, str(path))
+    assert "spans" in t.warnings[0] and t.df.count() == 2
+    path.write_text('name,note\n"A ""b""",x\n5" pipe,y\n')
+    t = D.open_delimited(spark, str(path))
+    assert t.warnings == [] and read_rows(t) == [['A "b"', "x"], ['5" pipe', "y"]]
