@@ -13,9 +13,8 @@ _OWN_DIR: list[str] = []
 PLACE_BITS = 33
 
 
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back; deleted when the application ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder in ``spark.checkpoint.dir``, deleted when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -27,9 +26,14 @@ def store(df: DataFrame) -> DataFrame:
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(base)
     fs.deleteOnExit(base)
-    path = f"{base.toString()}/table"
+    return f"{base.toString()}/table"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch path and read back."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

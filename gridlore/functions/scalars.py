@@ -15,10 +15,10 @@ BOOLEANS = ("true", "false", "yes", "no", "y", "n", "0", "1")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 NUMBER_WORD = r"^[+-]?(?i:inf|infinity|nan)$"
 #: Patterns that cover the accepted unambiguous date layouts; single letters take one or two digits.
-DATE_PATTERNS = ("yyyy-M-d", "yyyy-M-d H:mm", "yyyy-M-d H:mm:ss", "yyyy.M.d", "yyyy. M. d", "yyyy. M. d.", "yyyy.M.d H:mm", "yyyy.M.d H:mm:ss",
-                 "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyy-M", "yyyy.M", "yyyy/M", "yyyy년 M월 d일", "yyyy년 M월")
-MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
-DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss")
+DATE_PATTERNS = ("yyyy-M-d", "yyyy-M-d H:mm", "yyyy-M-d H:mm:ss", "yyyy.M.d", "yyyy. M. d", "yyyy.M.d H:mm", "yyyy.M.d H:mm:ss",
+                 "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyy-M", "yyyy.M", "yyyy/M", "yyyy년 M월 d일", "yyyy년 M월 d일 H:mm", "yyyy년 M월 d일 H:mm:ss")
+MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy")
+DAY_FIRST = ("d/M/yyyy", "d-M-yyyy")
 DATE_GATE = r"^(?=(?:\D*\d){5})(?=.*[-./:년월]).*$"
 COMPACT = r"^(\d{8}|\d{14})$"
 

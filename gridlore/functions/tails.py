@@ -151,13 +151,19 @@ def shapiro_wilk(values: list[float]) -> tuple[float, float, str]:
     w = sum(a * x for a, x in zip(weights, values, strict=True)) ** 2 / sum((x - mean) ** 2 for x in values)
     w = min(w, 1.0)
     if n == 3:
-        return w, clamp(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))), ""
+        return _verdict(w, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:  # its logarithm has no bound
+        return _verdict(1.0, 1.0)
     if n <= 11:
-        gamma = polynomial(G, n)
-        if gamma - math.log(1 - w) <= 0:
-            return w, 0.0, ""
-        z = (-math.log(gamma - math.log(1 - w)) - polynomial(C3, n)) / math.exp(polynomial(C4, n))
+        lift = max(1e-12, polynomial(G, n) - math.log1p(-w))
+        z = (-math.log(lift) - polynomial(C3, n)) / math.exp(polynomial(C4, n))
     else:
         u = math.log(n)
-        z = (math.log(1 - w) - polynomial(C5, u)) / math.exp(polynomial(C6, u)) if w < 1 else -10.0
-    return w, clamp(normal_above(z)), ""
+        z = (math.log1p(-w) - polynomial(C5, u)) / math.exp(polynomial(C6, u))
+    return _verdict(w, normal_above(z))
+
+
+def _verdict(w: float, p: float) -> tuple[float, float, str]:
+    """W, p, and the text that must be shown with them."""
+    p = clamp(p)
+    return w, p, "deviates from normality (p < 0.05)" if p < 0.05 else "consistent with normality (p >= 0.05)"

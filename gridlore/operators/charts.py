@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -56,11 +56,27 @@ def box_plot(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
 
 def outliers(df: DataFrame, column: str, limit: int = OUTLIERS) -> DataFrame:
     """The first values outside the fences, ascending."""
-    rows = _values(df, column)
-    q = F.broadcast(quantiles(rows, [], "x", (0.25, 0.75)).select("q"))  # one row
-    iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
-    out = rows.join(q).where((F.col("x") < F.get("q", F.lit(0)) - 1.5 * iqr) | (F.col("x") > F.get("q", F.lit(1)) + 1.5 * iqr))
-    return out.select("x").orderBy("x").limit(limit)
+    return group_outliers(df, column, None, limit).select("x").orderBy("x")
+
+
+def group_outliers(df: DataFrame, column: str, group: str | None = None, limit: int = OUTLIERS) -> DataFrame:
+    """group, place, x: each group's first values outside its fences, ascending."""
+    key = S.text(df, group) if group else F.lit("")
+    rows = df.select(key.alias("group"), S.finite(S.number(df, column)).alias("x")).where("x IS NOT NULL")
+    q = quantiles(rows, ["group"], "x", (0.25, 0.75)).select("group", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    out = rows.join(q, "group").where((F.col("x") < F.col("q1") - fence) | (F.col("x") > F.col("q3") + fence))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("x"))
+    return out.select("group", place.alias("place"), "x").where(F.col("place") <= limit)  # every task keeps a group's first values
+
+
+def box_chart(df: DataFrame, column: str, group: str | None = None) -> dict:
+    """Box plots, their outliers, and with two groups or more an analysis of variance."""
+    from .stats import anova_test
+
+    plots = box_plot(df, column, group)
+    several = group is not None and plots.limit(2).count() == 2
+    return {"plots": plots, "outliers": group_outliers(df, column, group), "anova": anova_test(df, group, column) if several else None}
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:

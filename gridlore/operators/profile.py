@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.running import store
 
 SAMPLE_ROWS = 5000
 FACET_VALUES = 6
@@ -74,19 +75,18 @@ def top_values(df: DataFrame, columns: list[str], k: int = 10, nulls: bool = Fal
 
 #: What a column of one type may be read as: allow, check on a sample, or block.
 def override_rule(inferred: str, wanted: str) -> str:
-    if inferred == wanted or wanted in ("String", "Categorical") or inferred == "Empty":
+    if inferred == wanted or wanted in ("String", "Categorical"):
         return "allow"
-    if inferred == "Integer" and wanted == "Float":
-        return "allow"
-    if inferred in ("String", "Categorical", "Integer", "Float", "Boolean", "Date") and wanted in ("Integer", "Float", "Date", "Boolean"):
-        return "block" if (inferred, wanted) in (("Date", "Boolean"), ("Boolean", "Date")) else "validate"
-    return "block"
+    if wanted == "Empty" or (inferred, wanted) == ("Float", "Integer"):
+        return "block"
+    return "allow" if (inferred, wanted) == ("Integer", "Float") else "validate"
 
 
 def override_failures(df: DataFrame, column: str, wanted: str, sample: int = 2000, examples: int = 5) -> DataFrame:
     """Up to five of the most frequent values that can't be read as the wanted type."""
     v = F.col("value")
-    fits = {"Integer": S.finite(S.parse_number(v)) == F.floor(S.finite(S.parse_number(v))), "Float": S.finite(S.parse_number(v)).isNotNull(),
+    x = S.parse_number(v)
+    fits = {"Integer": (S.finite(x) == F.floor(S.finite(x))) & ~v.rlike("[.eE]"), "Float": x.isNotNull(),
             "Date": S.parse_date(v).isNotNull(), "Boolean": F.lower(S.trim_all(v)).isin(*S.BOOLEANS)}.get(wanted, F.lit(True))
     values = df.groupBy(S.text(df, column).alias("value")).agg(F.count(F.lit(1)).alias("count")).where(~_is_null(v))
     values = values.orderBy(F.desc("count"), "value").limit(sample)
@@ -113,10 +113,12 @@ def facet_top(df: DataFrame, columns: list[str], base: Column | None = None, fil
     """column, rank, value, count, other_count, distinct_truncated; values trimmed of spaces and tabs."""
     counts = facet_counts(df, columns, base, filters)
     counts = counts.groupBy("slot", F.regexp_replace("value", r"^[ \t]+|[ \t]+$", "").alias("value")).agg(F.sum("count").alias("count"))
+    counts = store(counts)
+    totals = F.broadcast(counts.groupBy("slot").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("distinct")))  # a row per column
     own = Window.partitionBy("slot")
     order = own.orderBy(F.desc("count"), S.order_text(F.col("value")), "value")
-    ranked = counts.select("*", F.row_number().over(order).alias("rank"), F.sum("count").over(own).alias("total"), F.count(F.lit(1)).over(own).alias("distinct"))
-    top = ranked.where(F.col("rank") <= k)
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # every task keeps its first k of a column
+    top = top.join(totals, "slot")
     listed = F.sum("count").over(own)
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("slot") + 1)
     return top.select(names.alias("column"), "rank", "value", "count", (F.col("total") - listed).alias("other_count"),
@@ -140,11 +142,8 @@ def facet_histogram(df: DataFrame, column: str, base: Column | None = None, filt
 
 
 def key_like(name: str) -> bool:
-    """Whether a header reads as a key: id alone or as a word of its own, or a number-of word."""
-    if re.search(r"(번호|코드)$", name):
-        return True
-    parts = re.split(r"[\s_\-.]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name))
-    return any(p.lower() in ("id", "ids", "key", "uuid") for p in parts)
+    """Whether a header reads as a key: a key word alone, a last word id, a capitalised Id or ID at the end, or a number word."""
+    return name.lower() in ("id", "key", "code", "uuid") or re.search(r"[_\- ]id$", name.lower()) is not None or name.endswith(("Id", "ID")) or "번호" in name
 
 
 def quality_counts(df: DataFrame, columns: list[str]) -> DataFrame:

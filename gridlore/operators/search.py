@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -46,7 +47,7 @@ def check_pattern(pattern: str) -> None:
     i, in_class = 0, False
     while i < len(pattern):
         c = pattern[i]
-        unbounded = c in "*+" or (c == "{" and re.match(r"\{\d*,\d*\}", pattern[i:]) is not None)
+        unbounded = c in "*+{"
         if c == "\\":
             i += 2
             closed = False
@@ -56,6 +57,7 @@ def check_pattern(pattern: str) -> None:
             closed = False
         elif c == "[":
             in_class, closed = True, False
+            i += len(re.match(r"\^?\]?", pattern[i + 1:]).group())  # a bracket first in a class stands for itself
         elif c == "(":
             repeats_inside.append(False)
             closed = False
@@ -74,10 +76,22 @@ def check_pattern(pattern: str) -> None:
         i += 1
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks below U+2000, and the letters without."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(p) for p in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, UNMARKED = _plain_letters()
+
+
 def fold(c: Column) -> Column:
-    """Lower case without diacritics (canonical decompositions of Latin letters)."""
-    return F.lower(F.translate(c, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ",
-                               "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"))
+    """Lower case without diacritics, composed or not."""
+    return F.lower(F.regexp_replace(F.translate(c, MARKED, UNMARKED), r"\p{M}", ""))
 
 
 def matches(cell: Column, query: SearchQuery) -> Column:
@@ -85,8 +99,6 @@ def matches(cell: Column, query: SearchQuery) -> Column:
         check_pattern(query.text)
         return cell.rlike("(?i)" + query.text)
     if query.mode == "fuzzy":
-        import unicodedata
-
         plain = "".join(ch for ch in unicodedata.normalize("NFD", query.text.strip()) if not unicodedata.combining(ch)).lower()
         return fold(cell).rlike("(?s)" + ".*".join(re.escape(ch) for ch in plain)) if plain else F.lit(True)
     return S.contains_text(cell, query.text)

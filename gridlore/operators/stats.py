@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -36,6 +36,17 @@ class Test:
         return interpretation(self.p)
 
 
+TEST_ROW = "name string, n long, statistic double, df double, df2 double, p double, difference double, ci_low double, ci_high double, effect double, verdict string"
+
+
+def test_row(spark: SparkSession, test: Test) -> DataFrame:
+    """A test as a table of one row; what a test doesn't have is null."""
+    low, high = test.extra.get("ci", (None, None))
+    n, df2, effect = test.extra.get("n"), test.extra.get("df2"), test.extra.get("effect", test.extra.get("eta_squared"))
+    numbers = [None if v is None else float(v) for v in (test.statistic, test.df, df2, test.p, test.extra.get("difference"), low, high, effect)]
+    return spark.createDataFrame([(test.name, None if n is None else int(n), *numbers, test.extra.get("note") or test.text)], TEST_ROW)
+
+
 def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: n, missing, mean with its 95 % interval, sd, se, min, quartiles, max, range, iqr, skew, kurtosis, cv, modes.
 
@@ -159,7 +170,7 @@ def welch_from(a: tuple[int, float, float], b: tuple[int, float, float]) -> Test
     t = diff / se if se > 0 else 0.0
     pooled = math.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) if na + nb > 2 else 0.0
     half = tails.t_critical(df) * se
-    return Test("welch", t, df, tails.t_two_sided(t, df), {"difference": diff, "ci": (diff - half, diff + half), "effect": diff / pooled if pooled > 0 else 0.0})
+    return Test("welch", t, df, tails.t_two_sided(t, df), {"difference": diff, "ci": (diff - half, diff + half), "effect": diff / pooled if pooled > 0 else 0.0, "n": na + nb})
 
 
 def welch_test(df: DataFrame, group: str, a: str, b: str, value: str) -> Test:
@@ -177,7 +188,7 @@ def paired_test(df: DataFrame, before: str, after: str) -> Test:
     se = sd / math.sqrt(n) if n else 0.0
     t = mean / se if se > 0 else 0.0
     half = tails.t_critical(n - 1) * se if n > 1 else 0.0
-    return Test("paired", t, n - 1, tails.t_two_sided(t, n - 1), {"difference": mean, "ci": (mean - half, mean + half), "effect": mean / sd if sd > 0 else 0.0})
+    return Test("paired", t, n - 1, tails.t_two_sided(t, n - 1), {"difference": mean, "ci": (mean - half, mean + half), "effect": mean / sd if sd > 0 else 0.0, "n": n})
 
 
 def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
@@ -231,7 +242,7 @@ def anova_test(df: DataFrame, group: str, value: str) -> Test:
     if not r or r["k"] < 2 or r["n"] <= r["k"]:
         return Test("anova", 0.0, 0, 1.0)
     d1, d2 = r["k"] - 1, r["n"] - r["k"]
-    return Test("anova", r["f"], d1, tails.f_above(r["f"], d1, d2), {"df2": d2, "eta_squared": r["eta_squared"]})
+    return Test("anova", r["f"], d1, tails.f_above(r["f"], d1, d2), {"df2": d2, "eta_squared": r["eta_squared"], "n": r["n"]})
 
 
 def shapiro_test(df: DataFrame, column: str, order: list[Column] | None = None, cap: int = 5000) -> Test:
@@ -243,4 +254,4 @@ def shapiro_test(df: DataFrame, column: str, order: list[Column] | None = None,
     sample = stride_sample(rows, [F.col(f"o{i}") for i in range(len(order))] if order else ["x"], cap)
     values = sorted(r["x"] for r in sample.select("x").collect())  # at most cap values
     w, p, note = tails.shapiro_wilk(values)
-    return Test("shapiro-wilk", w, len(values), p, {"note": note})
+    return Test("shapiro-wilk", w, len(values), p, {"note": note, "n": len(values)})

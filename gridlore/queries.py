@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .operators import aggregate as A
 from .operators import charts as C
+from .operators import document as DO
 from .operators import filters as FI
 from .operators import profile as P
+from .operators import report as R
 from .operators import search as SE
 from .operators import sorting as SO
 from .operators import stats as T
+from .plans import view as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -375,19 +379,59 @@ def correlation_matrix(spark, d):
     return rounded(C.correlation_matrix(table(spark, d, "lineitem"), list(_NUMERIC)), 6)
 
 
-_MOMENTS = """SELECT o_orderstatus AS "group", count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(var_samp(o_totalprice), 0) AS variance FROM orders {w} GROUP BY 1"""
+def _shares(stats: str, a: str, b: str, x: str) -> str:
+    """CTEs up to z: the columns of ``stats`` with ``share``, the regularised incomplete beta function, by its series of positive terms."""
+    return f"""{stats}, w AS (SELECT *, {a} AS a, {b} AS b, {x} AS x FROM s), u AS (SELECT *, x > (a + 1) / (a + b + 2) AS flip FROM w),
+  y AS (SELECT *, CASE WHEN flip THEN b ELSE a END AS aa, CASE WHEN flip THEN a ELSE b END AS bb, CASE WHEN flip THEN 1 - x ELSE x END AS xx FROM u),
+  z AS (SELECT y.*, CASE WHEN flip THEN 1 - v ELSE v END AS share FROM y, LATERAL (SELECT coalesce(sum(exp(lgamma(y.aa + y.bb + kk) - lgamma(y.aa + 1 + kk) - lgamma(y.bb) + (y.aa + kk) * ln(y.xx) + y.bb * ln(1 - y.xx))), 0) AS v
+  FROM range(20000) r(kk) WHERE y.xx > 0) l)"""
 
 
-@query(_MOMENTS.format(w="WHERE o_orderstatus IN ('F', 'O')"))
+def _upper_gamma(a: str, x: str, source: str) -> str:
+    """The regularised upper incomplete gamma function of columns of ``source``, by its series."""
+    return f"(SELECT 1 - coalesce(sum(exp(({a} + k) * ln({x}) - {x} - lgamma({a} + k + 1))), 0) FROM {source}, range(5000) r(k) WHERE {x} > 0)"
+
+
+def _result(df: DataFrame, *columns: str) -> DataFrame:
+    return rounded(df.select(*columns), 6)
+
+
+_TEST = ("n", "statistic", "df", "p", "difference", "ci_low", "ci_high", "effect")
+_T = _CRITICAL.format(z=_Z, v="df")
+
+
+@query("WITH " + _shares("""g AS (SELECT o_orderstatus AS k, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+  s AS (SELECT a.n + b.n AS n, a.m - b.m AS difference, sqrt(a.v / a.n + b.v / b.n) AS se, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+  (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) AS df, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS effect
+  FROM g a, g b WHERE a.k = 'F' AND b.k = 'O')""", "df / 2", "0.5", "df / (df + t * t)") + f"""
+  SELECT n, round(t, 6) AS statistic, round(df, 6) AS df, round(share, 6) AS p, round(difference, 6) AS difference, round(difference - ({_T}) * se, 2) AS ci_low, round(difference + ({_T}) * se, 2) AS ci_high,
+  round(effect, 6) AS effect FROM z""")
 def t_test_welch(spark, d):
-    df = table(spark, d, "orders")
-    out = T.group_moments(df.where(F.col("o_orderstatus").isin("F", "O")), "o_orderstatus", "o_totalprice")
-    return out.select("group", "n", F.round("mean", 2).alias("mean"), F.round("variance", 0).alias("variance"))
+    test = T.welch_test(table(spark, d, "orders"), "o_orderstatus", "F", "O", "o_totalprice")
+    return rounded(T.test_row(spark, test).select(*_TEST), 6, ci_low=2, ci_high=2)
 
 
-@query("SELECT count(*) AS n, round(avg(l_tax - l_discount), 6) AS mean, round(stddev_samp(l_tax - l_discount), 6) AS sd FROM lineitem")
+@query("WITH " + _shares("""m AS (SELECT count(*) AS n, avg(l_tax - l_discount) AS difference, stddev_samp(l_tax - l_discount) AS sd FROM lineitem),
+  s AS (SELECT *, difference / (sd / sqrt(n)) AS t, sd / sqrt(n) AS se, n - 1 AS df, difference / sd AS effect FROM m)""", "df / 2.0", "0.5", "df / (df + t * t)") + f"""
+  SELECT n, round(t, 6) AS statistic, CAST(df AS DOUBLE) AS df, round(share, 6) + 0.0 AS p, round(difference, 6) AS difference, round(difference - ({_T}) * se, 6) AS ci_low, round(difference + ({_T}) * se, 6) AS ci_high,
+  round(effect, 6) AS effect FROM z""")
 def t_test_paired(spark, d):
-    return rounded(T.paired_moments(table(spark, d, "lineitem"), "l_discount", "l_tax"), 6)
+    return _result(T.test_row(spark, T.paired_test(table(spark, d, "lineitem"), "l_discount", "l_tax")), *_TEST)
+
+
+_R = "m AS ({rows}), s AS (SELECT *, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM m)"
+_R_RESULT = " SELECT n, round(r, 6) + 0.0 AS statistic, CAST(df AS DOUBLE) AS df, round(share, 6) + 0.0 AS p FROM z"
+
+
+@query("WITH " + _shares(_R.format(rows="SELECT count(*) AS n, corr(c_acctbal, c_custkey) AS r FROM customer"), "df / 2.0", "0.5", "df / (df + t * t)") + _R_RESULT)
+def correlation_pearson_test(spark, d):
+    return _result(T.test_row(spark, T.correlation_test(table(spark, d, "customer"), "c_acctbal", "c_custkey")), "n", "statistic", "df", "p")
+
+
+@query("WITH " + _shares(_R.format(rows="""SELECT count(*) AS n, corr(x, y) AS r FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS x,
+  rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS y FROM customer)"""), "df / 2.0", "0.5", "df / (df + t * t)") + _R_RESULT)
+def correlation_spearman_test(spark, d):
+    return _result(T.test_row(spark, T.correlation_test(table(spark, d, "customer"), "c_acctbal", "c_nationkey", "spearman")), "n", "statistic", "df", "p")
 
 
 _CELLS = """o AS (SELECT o_orderstatus AS r, o_orderpriority AS c, count(*) AS n FROM orders GROUP BY 1, 2), rt AS (SELECT r, sum(n) AS t FROM o GROUP BY 1), ct AS (SELECT c, sum(n) AS t FROM o GROUP BY 1),
@@ -399,6 +443,12 @@ def chi_square(spark, d):
     return rounded(T.chi_square(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority"), 6)
 
 
+@query(f"""WITH {_CELLS}, s AS (SELECT sum((n - e) * (n - e) / e) / 2 AS x, (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) / 2.0 AS a, CAST(sum(n) AS BIGINT) AS n FROM e)
+  SELECT n, round(2 * x, 6) AS statistic, CAST(2 * a AS DOUBLE) AS df, round({_upper_gamma('a', 'x', 's')}, 6) + 0.0 AS p FROM s""")
+def chi_square_test(spark, d):
+    return _result(T.test_row(spark, T.chi_square_test(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")), "n", "statistic", "df", "p")
+
+
 @query(f"WITH {_CELLS} SELECT r AS row, c AS column, n AS observed, round(e, 4) AS expected FROM e")
 def contingency(spark, d):
     return rounded(T.contingency(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority"))
@@ -412,10 +462,50 @@ def anova(spark, d):
     return T.anova(table(spark, d, "orders"), "o_orderpriority", "o_totalprice").select("k", "n", F.round("f", 6).alias("f"), F.round("eta_squared", 8).alias("eta_squared"))
 
 
-@query()
+@query("WITH " + _shares("""g AS (SELECT count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY o_orderpriority),
+  t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS grand FROM g), q AS (SELECT k, t.n AS n, sum(g.n * (m - grand) * (m - grand)) AS between_, sum((g.n - 1) * v) AS within_ FROM g, t GROUP BY 1, 2),
+  s AS (SELECT *, (between_ / (k - 1)) / (within_ / (n - k)) AS f, k - 1 AS d1, n - k AS d2 FROM q)""", "d2 / 2.0", "d1 / 2.0", "d2 / (d2 + d1 * f)") + """
+  SELECT CAST(n AS BIGINT) AS n, round(f, 6) AS statistic, CAST(d1 AS DOUBLE) AS df, CAST(d2 AS DOUBLE) AS df2, round(share, 6) AS p, round(between_ / (between_ + within_), 6) AS effect FROM z""")
+def anova_test(spark, d):
+    return _result(T.test_row(spark, T.anova_test(table(spark, d, "orders"), "o_orderpriority", "o_totalprice")), "n", "statistic", "df", "df2", "p", "effect")
+
+
+def _horner(numbers: tuple[float, ...], x: str) -> str:
+    """A polynomial with its constant last."""
+    out = repr(numbers[0])
+    for c in numbers[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+# Wichura's coefficients of the normal quantile (Applied Statistics algorithm AS 241, 1988), constants last.
+_CENTRE = ((2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+           (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0))
+_TAIL = ((7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+         (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0))
+
+
+def _normal_quantile(p: str) -> str:
+    centre, tail = f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)"
+    return (f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_horner(_CENTRE[0], centre)} / {_horner(_CENTRE[1], centre)} "
+            f"ELSE sign({p} - 0.5) * {_horner(_TAIL[0], tail)} / {_horner(_TAIL[1], tail)} END)")
+
+
+_U = "(1 / sqrt(n))"
+@query(f"""WITH o AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i FROM lineitem),
+  k AS (SELECT count(*) AS total FROM o), w AS (SELECT DISTINCT CASE WHEN total <= 5000 THEN r.range ELSE CAST(floor(r.range * (total - 1) / 4999.0 + 0.5) AS BIGINT) END AS i FROM range(5000) r, k),
+  v AS (SELECT v, row_number() OVER (ORDER BY v) AS j, count(*) OVER () AS n FROM o JOIN w USING (i)),
+  m AS (SELECT *, (j - 0.375) / (n + 0.25) AS p FROM v), q AS (SELECT *, {_normal_quantile("p")} AS m FROM m),
+  z AS (SELECT n, sum(m * m) AS size, max(m) AS last1, max(m) FILTER (WHERE j = n - 1) AS last2 FROM q GROUP BY n),
+  h AS (SELECT *, last1 / sqrt(size) + {_horner((-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0), _U)} AS top, last2 / sqrt(size) + {_horner((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0), _U)} AS second FROM z),
+  f AS (SELECT *, (size - 2 * last1 * last1 - 2 * last2 * last2) / (1 - 2 * top * top - 2 * second * second) AS phi FROM h),
+  a AS (SELECT q.v, q.n, CASE WHEN j = 1 THEN -top WHEN j = 2 THEN -second WHEN j = q.n THEN top WHEN j = q.n - 1 THEN second ELSE m / sqrt(phi) END AS a FROM q, f),
+  s AS (SELECT n, sum(a * v) ** 2 / (var_pop(v) * n) AS w FROM a GROUP BY n),
+  l AS (SELECT *, (ln(1 - w) - {_horner((0.0038915, -0.083751, -0.31082, -1.5861), "ln(n)")}) / exp({_horner((0.0030302, -0.082676, -0.4803), "ln(n)")}) AS z FROM s), x AS (SELECT *, z * z / 2 AS x, 0.5 AS a FROM l)
+  SELECT n, round(w, 6) AS w, round(CASE WHEN z > 6 THEN 0 WHEN z < 0 THEN 1 - t / 2 ELSE t / 2 END, 6) + 0.0 AS p FROM (SELECT *, {_upper_gamma('a', 'x', 'x')} AS t FROM x)""")
 def shapiro_wilk(spark, d):
-    t = T.shapiro_test(table(spark, d, "lineitem"), "l_extendedprice", [F.col("l_orderkey"), F.col("l_linenumber")], 500)
-    return spark.createDataFrame([(t.statistic, t.p, int(t.df))], "w double, p double, n long")
+    t = T.shapiro_test(table(spark, d, "lineitem"), "l_extendedprice", [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice")])
+    return rounded(spark.createDataFrame([(t.statistic, t.p, int(t.df))], "w double, p double, n long"), 6)
 
 
 @query("""WITH s AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, stddev_samp(c_acctbal) AS sd, (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)) / 1.34 AS iqr FROM customer),
@@ -456,6 +546,13 @@ def density_grid(spark, d):
     return rounded(C.density_grid(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
+@query("""WITH q AS (SELECT event_type AS "group", quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1),
+  o AS (SELECT "group", value, row_number() OVER (PARTITION BY "group" ORDER BY value) AS place FROM events JOIN q ON event_type = "group" WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))
+  SELECT "group", place, round(value, 4) AS x FROM o WHERE place <= 200""")
+def boxplot_outliers(spark, d):
+    return rounded(C.group_outliers(table(spark, d, "events"), "value", "event_type"))
+
+
 @query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
   SELECT round(value, 4) AS x FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) ORDER BY value LIMIT 200""")
 def outliers(spark, d):
@@ -468,7 +565,9 @@ def scatter_points(spark, d):
     return rounded(C.scatter(table(spark, d, "part"), "p_size", "p_retailprice")[1])
 
 
-@query()
+@query(f"""WITH v AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) - 1 AS i, count(*) OVER () AS n FROM customer),
+  w AS (SELECT DISTINCT CASE WHEN n <= 2000 THEN r.range ELSE CAST(floor(r.range * (n - 1) / 1999.0 + 0.5) AS BIGINT) END AS i FROM range(2000) r, (SELECT count(*) AS n FROM customer)),
+  p AS (SELECT i, x, (i + 0.625) / (n + 0.25) AS p FROM v JOIN w USING (i)) SELECT i, round({_normal_quantile("p")}, 6) + 0.0 AS theoretical, round(x, 6) AS sample FROM p""")
 def qq(spark, d):
     return rounded(C.qq(table(spark, d, "customer"), "c_acctbal"), 6)
 
@@ -554,3 +653,196 @@ def value_labels(spark, d):
     return df.select(F.col("n_nationkey"), with_labels("region", {"0": "Zero", "1": "One"}).alias("region"))
 
 
+def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000 AND o_orderkey % 2 = 0")
+def view_filter_within(spark, d):
+    """A filter inside a filtered view narrows it."""
+    view = V.View(table(spark, d, "orders"), "o_orderkey").filter(FI.FilterState((FI.SelectedValues("o_orderstatus", ("F",)),)))
+    return view.where("o_totalprice > 150000").where(F.col("o_orderkey") % 2 == 0).rows().select("o_orderkey")
+
+
+@query("SELECT o_orderpriority, o_custkey, o_orderstatus, o_orderdate FROM orders")
+def view_projection(spark, d):
+    """Hidden and reordered columns."""
+    view = V.View(table(spark, d, "orders"), "o_orderkey", order=("o_orderpriority",)).hide("o_totalprice")
+    return view.rows().select(*view.columns())
+
+
+@query("SELECT count(*) AS n, 'o_orderkey asc' AS keys FROM orders")
+def view_clear(spark, d):
+    """Clearing drops filters and sorts."""
+    view = V.View(table(spark, d, "orders"), "o_orderkey").filter(FI.FilterState((FI.SelectedValues("o_orderstatus", ("F",)),))).sort(SO.SortKey("o_custkey")).where("o_totalprice > 5").clear()
+    return view.rows().agg(F.count(F.lit(1)).alias("n"), F.lit(", ".join(k.column for k in view.keys) or "o_orderkey asc").alias("keys"))
+
+
+@query("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 40 OFFSET 100")
+def view_page(spark, d):
+    return V.View(table(spark, d, "part"), "p_partkey").sort(SO.SortKey("p_size", False)).page(100, 40).select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey LIMIT 50")
+def view_row_cap(spark, d):
+    """The analysis row cap: the first rows of the ordered view."""
+    return V.View(table(spark, d, "part"), "p_partkey").sort(SO.SortKey("p_size", False)).capped(50).select("p_partkey")
+
+
+@query("""WITH v AS (SELECT *, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos FROM part)
+  SELECT pos AS position, p_type AS value FROM v WHERE regexp_matches(p_type, 'e.*d', 'i') ORDER BY pos < 100, pos LIMIT 1""")
+def view_search(spark, d):
+    """The search box over a sorted view: a pattern between slashes, from a position on."""
+    view = V.View(table(spark, d, "part").select("p_partkey", "p_size", "p_type"), "p_partkey").sort(SO.SortKey("p_size")).hide("p_size")
+    return view.search("/e.*d/", 100).select("position", "value")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_totalprice >= 5000 AND o_totalprice < 250000 AND o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31'""")
+def saved_view(spark, d):
+    """A view saved as plain data and restored: its filters act again."""
+    saved = V.SavedView("mine", sorts=(("o_totalprice", False),), hidden=("o_custkey",), filters=(
+        FI.SelectedValues("o_orderpriority", ("1-URGENT", "5-LOW")), FI.NumericRange("o_totalprice", 5000, 250000), FI.DateRange("o_orderdate", "1994-01-01", "1996-12-31")))
+    view = V.SavedView.from_dict(json.loads(json.dumps(saved.to_dict()))).restore(table(spark, d, "orders"), "o_orderkey")
+    return view.rows().select("o_orderkey")
+
+
+@query("""SELECT 'expression' AS kind, o_orderkey FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'text', o_orderkey FROM orders WHERE contains(lower(o_orderpriority), 'urgent')""")
+def filter_routing(spark, d):
+    """A filter box decides between an expression and plain text."""
+    df = table(spark, d, "orders")
+    kinds = (("expression", FI.condition(df, "o_totalprice > 200000")), ("text", FI.condition(df, "Urgent", "o_orderpriority")))
+    parts = [df.where(c).select(F.lit(k).alias("kind"), "o_orderkey") for k, c in kinds]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT * FROM (VALUES ('a', 1, 'a asc'), ('a', 2, 'a desc'), ('b added', 3, 'a desc, b asc'), ('a added', 4, 'a asc, b asc'), ('b', 5, 'b desc')) t(click, step, keys)""")
+def sort_toggle(spark, d):
+    """Header clicks: a new key, the other way, added keys, and one alone."""
+    keys: tuple = ()
+    rows = []
+    for step, (column, additive) in enumerate((("a", False), ("a", False), ("b", True), ("a", True), ("b", False)), 1):
+        keys = SO.toggle(keys, column, additive)
+        rows.append((column + " added" * additive, step, ", ".join(f"{k.column} {'asc' if k.ascending else 'desc'}" for k in keys)))
+    return _literal(spark, rows, "click string, step int, keys string").withColumn("step", F.col("step").cast("int"))
+
+
+_TYPES = ("Integer", "Float", "Boolean", "Date", "Categorical", "String", "Empty")
+
+
+@query("SELECT i AS inferred, w AS wanted, CASE WHEN i = w OR w IN ('String', 'Categorical') OR (i = 'Integer' AND w = 'Float') THEN 'allow' WHEN w = 'Empty' OR (i = 'Float' AND w = 'Integer') THEN 'block' ELSE 'validate' END AS rule "
+       + f"FROM unnest({list(_TYPES)}) a(i), unnest({list(_TYPES)}) b(w)")
+def override_rules(spark, d):
+    return _literal(spark, [(i, w, P.override_rule(i, w)) for i in _TYPES for w in _TYPES], "inferred string, wanted string, rule string")
+
+
+_HEADERS = ("id", "Code", "uuid", "user_id", "order id", "line-id", "userId", "USERID", "고객번호", "번호표", "grid", "valid", "id_type", "key stage", "note")
+
+
+@query(f"SELECT h AS name, lower(h) IN ('id', 'key', 'code', 'uuid') OR regexp_matches(lower(h), '[_ -]id$') OR regexp_matches(h, '(Id|ID)$') OR contains(h, '번호') AS is_key FROM unnest({list(_HEADERS)}) t(h)")
+def key_names(spark, d):
+    return _literal(spark, [(h, P.key_like(h)) for h in _HEADERS], "name string, is_key boolean")
+
+
+@query("""SELECT (SELECT count(*) FROM customer WHERE c_nationkey < 10) AS rows_visible, (SELECT count(*) FROM customer) AS rows_total, 2::BIGINT AS columns, 0::BIGINT AS slot, 'c_nationkey' AS "column", 'Integer' AS type,
+  count(*) AS non_null_count, count(DISTINCT c_nationkey) AS unique_count FROM customer WHERE c_nationkey < 10
+  UNION ALL SELECT (SELECT count(*) FROM customer WHERE c_nationkey < 10), (SELECT count(*) FROM customer), 2, 1, 'c_acctbal', 'Float', count(*), count(DISTINCT c_acctbal) FROM customer WHERE c_nationkey < 10""")
+def quick_stats(spark, d):
+    df = table(spark, d, "customer")
+    return rounded(DO.quick_stats(df, df.where("c_nationkey < 10"), ["c_nationkey", "c_acctbal"], "c_custkey"))
+
+
+def _csv_folder(spark: SparkSession, df: DataFrame, names: str) -> str:
+    """Rows written as delimited text, several files whose first one begins with the header."""
+    from .functions.running import scratch
+
+    quoted = [F.when(F.col(c).cast("string").rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c).cast("string")) for c in df.columns]
+    lines = df.select(F.concat_ws(",", *quoted).alias("value"))
+    folder = scratch(spark)
+    spark.createDataFrame([(names,)], "value string").coalesce(1).unionByName(lines).write.text(folder)
+    return folder
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'say "' || l_returnflag || '", twice' WHEN 1 THEN 'line one' || chr(10) || 'line ' || l_linestatus ELSE l_returnflag END AS note,
+  round(l_extendedprice, 2) AS price FROM lineitem""")
+def csv_roundtrip(spark, d):
+    """A table written as delimited text with quotes, delimiters and line breaks in cells, and read back."""
+    from .sources.delimited import open_delimited
+
+    k = F.col("l_linenumber") % 3
+    note = F.when(k == 0, F.concat(F.lit('say "'), "l_returnflag", F.lit('", twice'))).when(k == 1, F.concat(F.lit("line one\nline "), "l_linestatus")).otherwise(F.col("l_returnflag"))
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", note.alias("note"), F.round("l_extendedprice", 2).alias("price"))
+    t = open_delimited(spark, _csv_folder(spark, df, "l_orderkey,l_linenumber,note,price"))
+    return t.df.select(F.col("c0").cast("long").alias("l_orderkey"), F.col("c1").cast("int").alias("l_linenumber"), F.col("c2").alias("note"), F.col("c3").cast("double").alias("price"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey > 0")
+def csv_filter(spark, d):
+    """Column equality over quote-free delimited text."""
+    from .sources.delimited import open_delimited
+
+    t = open_delimited(spark, _csv_folder(spark, table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey,o_orderpriority,o_custkey"))
+    return t.df.where(FI.equals(t.column("o_orderpriority"), "1-URGENT")).select(F.col("c0").cast("long").alias("o_orderkey"), F.col("c1").alias("o_orderpriority"))
+
+
+def _exported(kind: str):
+    def run(spark, d):
+        import tempfile
+
+        from .sources.export import write_file
+
+        df = table(spark, d, "nation").orderBy("n_nationkey")
+        with tempfile.NamedTemporaryFile("r", encoding="utf-8") as f:  # on the driver, as the export is
+            write_file(df, ["n_nationkey", "n_name"], ["key", "na|me"], f.name, kind)
+            lines = f.read().splitlines()
+        return _literal(spark, list(enumerate(lines)), "line long, text string")
+
+    return run
+
+
+_BODY = "SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_nationkey AS k, n_name AS v, count(*) OVER () AS n FROM nation"
+query(f"SELECT 0::BIGINT AS line, 'key,na|me' AS text UNION ALL SELECT i, k || ',' || v FROM ({_BODY})", "export_csv")(_exported("csv"))
+query(f"SELECT 0::BIGINT AS line, '| key | na\\|me |' AS text UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT i + 1, '| ' || k || ' | ' || v || ' |' FROM ({_BODY})", "export_markdown")(_exported("markdown"))
+query(f"""SELECT 0::BIGINT AS line, '[' AS text UNION ALL SELECT unnest([4 * i - 3, 4 * i - 2, 4 * i - 1, 4 * i]), unnest(['  {{', '    "key": "' || k || '",', '    "na|me": "' || v || '"', CASE WHEN i = n THEN '  }}' ELSE '  }},' END])
+  FROM ({_BODY}) UNION ALL SELECT 4 * count(*) + 1, ']' FROM nation""", "export_json")(_exported("json"))
+query(f"""SELECT * FROM (VALUES (0::BIGINT, '<table>'), (1, '<thead><tr><th>key</th><th>na|me</th></tr></thead>'), (2, '<tbody>')) t(line, text) UNION ALL SELECT i + 2, '<tr><td>' || k || '</td><td>' || v || '</td></tr>' FROM ({_BODY})
+  UNION ALL SELECT count(*) + 3, '</tbody>' FROM nation UNION ALL SELECT count(*) + 4, '</table>' FROM nation""", "export_html")(_exported("html"))
+
+
+@query("""SELECT CASE WHEN count(DISTINCT strftime(o_orderdate, '%Y')) > 0 THEN 'Line' END AS kind, 'x' AS probe FROM orders UNION ALL SELECT 'Grouped', 'y' UNION ALL SELECT 'Bar', 'z'""")
+def pivot_chart_kinds(spark, d):
+    """Dates in rows make a line, several columns groups, else bars."""
+    df = table(spark, d, "orders").withColumn("all", F.lit("all"))
+    line = C.pivot_chart(A.pivot(df, ["o_orderdate"], ["o_orderstatus"], "o_totalprice", units={"o_orderdate": "year"}))[0]
+    groups = C.pivot_chart(A.pivot(df, ["o_orderpriority"], ["o_orderstatus"], "o_totalprice"))[0]
+    bars = C.pivot_chart(A.pivot(df, ["o_orderpriority"], ["all"], "o_totalprice"))[0]
+    return _literal(spark, [(line, "x"), (groups, "y"), (bars, "z")], "kind string, probe string")
+
+
+@query("""SELECT 'Integer' AS type, list_aggregate(['count', 'sum', 'mean', 'median', 'min', 'max', 'unique', 'std'], 'string_agg', ',') AS measures UNION ALL SELECT 'Date', 'count,unique' UNION ALL SELECT 'Categorical', 'count,unique'""")
+def measure_rules(spark, d):
+    return _literal(spark, [(t, ",".join(R.measures_for(t))) for t in ("Integer", "Date", "Categorical")], "type string, measures string")
+
+
+@query("""SELECT 'o_orderdate' AS date, 'o_totalprice' AS numeric, 'o_orderstatus' AS "group", 'o_totalprice,o_custkey' AS described,
+  (SELECT string_agg(v, ',' ORDER BY n DESC, v) FROM (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2)) AS pair""")
+def default_parameters(spark, d):
+    p = R.default_parameters(table(spark, d, "orders"), {"o_orderstatus": "Categorical", "o_totalprice": "Float", "o_custkey": "Integer", "o_orderdate": "Date"})
+    return _literal(spark, [(p.date, p.numeric, p.group, ",".join(p.described), ",".join(p.pair or ()))], "date string, numeric string, `group` string, described string, pair string")
+
+
+_P = tuple(i / 100 for i in range(1, 100))
+
+
+@query(f"SELECT p, round({_normal_quantile('p')}, 8) + 0.0 AS z FROM unnest({list(_P)}::DOUBLE[]) t(p)")
+def normal_quantiles(spark, d):
+    from .functions import tails
+
+    return rounded(_literal(spark, [(p, tails.normal_quantile(p)) for p in _P], "p double, z double"), 8)
+
+
+@query("WITH " + _shares("""s AS (SELECT t, df FROM unnest([0.1, 0.5, 1.0, 2.0, 5.5]::DOUBLE[]) a(t), unnest([1.0, 2.0, 4.5, 30.0, 400.0]::DOUBLE[]) b(df))""", "df / 2", "0.5", "df / (df + t * t)")
+       + " SELECT t, df, round(share, 8) AS p FROM z")
+def t_tails(spark, d):
+    from .functions import tails
+
+    return rounded(_literal(spark, [(t, df, tails.t_two_sided(t, df)) for t in (0.1, 0.5, 1.0, 2.0, 5.5) for df in (1.0, 2.0, 4.5, 30.0, 400.0)], "t double, df double, p double"), 8)

@@ -76,6 +76,18 @@ def read_head(spark: SparkSession, path: str, size: int = PROBE, start: int = 0)
         stream.close()
 
 
+def first_file(spark: SparkSession, path: str) -> str:
+    """The path itself, or a folder's first file that isn't hidden: files of a folder are read as one, in name order."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(target).isDirectory():
+        return path
+    found = sorted(f.getPath().toString() for f in fs.listStatus(target) if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")))
+    if not found:
+        raise FileNotFoundError(path)
+    return found[0]
+
+
 def file_size(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
@@ -201,8 +213,9 @@ def read_header(head: str, delimiter: str) -> tuple[list[str], bool]:
 
 def open_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header: bool = True) -> Table:
     """Open a delimited file as a Table; its splits are indexed now, its cells are read when asked for."""
-    encoding = encoding or probe_encoding(spark, path)
-    head = read_head(spark, path).decode(encoding, "replace")
+    first = first_file(spark, path)
+    encoding = encoding or probe_encoding(spark, first)
+    head = read_head(spark, first).decode(encoding, "replace")
     delimiter = delimiter or detect_delimiter(head)
     names, damaged = read_header(head, delimiter)
     if not header:
@@ -471,7 +484,7 @@ def _quoted(spark: SparkSession, path: str, encoding: str, delimiter: str, block
     crossing = pieces.groupBy("_row").applyInArrow(join, "_row long, _fields array<string>")
     out = inner.unionByName(crossing)
     if damaged:
-        title = read_head(spark, path).decode(encoding, "replace").splitlines()[0].split(delimiter)
+        title = read_head(spark, first_file(spark, path)).decode(encoding, "replace").splitlines()[0].split(delimiter)
         out = out.unionByName(spark.createDataFrame([(0, title)], "_row long, _fields array<string>"))
     return out, problem
 

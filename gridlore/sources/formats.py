@@ -8,6 +8,7 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import SparkSession
 
 from .delimited import Table, open_delimited, open_text, read_head
+from .sas import open_sas
 from .spss import open_sav
 from .workbooks import open_sqlite, open_xlsx
 from .xls import open_xls
@@ -43,8 +44,8 @@ def open_any(spark: SparkSession, path: str, part: str | None = None) -> Table:
         return open_sav(spark, path)
     if kind == "xls":
         return open_xls(spark, path, part)
-    if kind != "delimited":
-        raise NotImplementedError(f"{kind} files are not read yet")
+    if kind == "sas7bdat":
+        return open_sas(spark, path)
     return open_delimited(spark, path)
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import io
-import os
+import math
 import re
 import sqlite3
-import tempfile
 import time
 import zipfile
+from contextlib import closing
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -38,7 +38,7 @@ class Limits:
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 #: Number formats of the standard that show dates.
-DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+DATE_FORMATS = frozenset((*range(14, 23), *range(45, 48)))
 
 
 class _Budget:
@@ -86,8 +86,7 @@ def serial_date(serial: float, epoch_1904: bool = False) -> str:
         day = datetime(1904, 1, 1) + timedelta(days=serial)
     else:
         day = datetime(1899, 12, 30) + timedelta(days=serial)
-    day = (day + timedelta(milliseconds=500)).replace(microsecond=0)
-    return day.strftime("%Y-%m-%d") if (day.hour, day.minute, day.second) == (0, 0, 0) else day.strftime("%Y-%m-%d %H:%M:%S")
+    return day.strftime("%Y-%m-%d %H:%M:%S" if serial - math.floor(serial) > 1e-9 else "%Y-%m-%d")
 
 
 def column_number(reference: str) -> int:
@@ -98,6 +97,12 @@ def column_number(reference: str) -> int:
     return out - 1
 
 
+def dated_code(code: str) -> bool:
+    """Whether a custom number format shows a date: years or days, or months together with hours or seconds."""
+    plain = re.sub(r'"[^"]*("|$)|\[[^\]]*(\]|$)', "", code).lower()
+    return "y" in plain or "d" in plain or ("m" in plain and ("h" in plain or "s" in plain))
+
+
 def _date_styles(z: zipfile.ZipFile, limits: Limits) -> set[int]:
     if "xl/styles.xml" not in z.namelist():
         return set()
@@ -106,8 +111,7 @@ def _date_styles(z: zipfile.ZipFile, limits: Limits) -> set[int]:
     dated = set()
     for i, xf in enumerate(root.find(f"{NS}cellXfs") if root.find(f"{NS}cellXfs") is not None else ()):
         number = int(xf.get("numFmtId", 0))
-        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", custom.get(number, "")).lower()
-        if number in DATE_FORMATS or (number in custom and re.search(r"[ymdhs]", code) and "general" not in code):
+        if number in DATE_FORMATS or dated_code(custom.get(number, "")):
             dated.add(i)
     return dated
 
@@ -163,21 +167,28 @@ def xlsx_rows(content: bytes, sheet: str | None = None, limits: Limits = Limits(
         yield cells + [""] * (width - len(cells))
 
 
-def sqlite_tables(path: str) -> list[str]:
+def _opened(content: bytes) -> sqlite3.Connection:
+    """A SQLite file's bytes as a database in memory."""
+    db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    return db
+
+
+def sqlite_tables(content: bytes) -> list[str]:
     """Tables, then views, each by name."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with closing(_opened(content)) as db:
         return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' "
                                          "ORDER BY CASE type WHEN 'table' THEN 0 ELSE 1 END, name")]
 
 
-def sqlite_rows(path: str, table: str, limits: Limits = Limits()):
+def sqlite_rows(content: bytes, table: str, limits: Limits = Limits()):
     """Header, then rows as text: null is blank, a blob is ``<blob N bytes>``."""
     budget = _Budget(limits)
 
     def text(v) -> str:
         return "" if v is None else f"<blob {len(v)} bytes>" if isinstance(v, bytes) else str(v)
 
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with closing(_opened(content)) as db:
         quoted = table.replace('"', '""')
         found = db.execute(f'SELECT * FROM "{quoted}"')
         yield [d[0] for d in found.description]
@@ -216,19 +227,7 @@ def open_xlsx(spark: SparkSession, path: str, sheet: str | None = None, limits:
     return _table(spark, path, lambda c: xlsx_rows(c, sheet, limits), lambda: next(iter(xlsx_rows(content, sheet, limits)), [""]))
 
 
-def _with_file(content: bytes, use):
-    """Call ``use`` with a private copy of a file, gone afterwards."""
-    handle, name = tempfile.mkstemp(suffix=".sqlite")
-    try:
-        with os.fdopen(handle, "wb") as f:
-            f.write(content)
-        return use(name)
-    finally:
-        os.unlink(name)
-
-
 def open_sqlite(spark: SparkSession, path: str, table: str | None = None, limits: Limits = Limits()) -> Table:
     content = _content(spark, path, limits)
-    table = table or _with_file(content, lambda p: sqlite_tables(p)[0])
-    return _table(spark, path, lambda c: _with_file(c, lambda p: list(sqlite_rows(p, table, limits))),
-                  lambda: _with_file(content, lambda p: next(sqlite_rows(p, table, limits))))
+    table = table or sqlite_tables(content)[0]
+    return _table(spark, path, lambda c: sqlite_rows(c, table, limits), lambda: next(sqlite_rows(content, table, limits)))

@@ -316,7 +316,7 @@ def test_workbooks(spark, tmp_path):
         db.executemany("INSERT INTO people VALUES (?, ?, ?)", [(1, "Ann", b"xy"), (2, None, None)])
         db.execute("CREATE VIEW v AS SELECT * FROM people")
         db.execute("CREATE TABLE empty_table (x)")
-    assert workbooks.sqlite_tables(str(path)) == ["empty_table", "people", "v"]
+    assert workbooks.sqlite_tables(path.read_bytes()) == ["empty_table", "people", "v"]
     t = workbooks.open_sqlite(spark, f"file://{path}", "people")
     assert t.names == ["id", "name", "b"] and rows(t.df.select("c0", "c1", "c2").orderBy("_row")) == [("1", "Ann", "<blob 2 bytes>"), ("2", "", "")]
     book = tmp_path / "b.xlsx"
