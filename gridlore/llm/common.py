@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 _OWN_DIR: list[str] = []
 #: Up to so many rows of ids (8 bytes, or 8 and a key of 16) are broadcast, 16 MB at most; more are joined by shuffle.
 BROADCAST_IDS = 250_000
+#: Low bits of a row's number that hold its place in its file.
+PLACE_BITS = 40
 #: Rows of a file of two or three numbers a row.
 ROWS_A_FILE = 250_000
 
@@ -129,9 +131,28 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def _one_parquet_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is columns and rows of one scan of Parquet files, each row at most once."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if node.children().size() != 1:
+            return False
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and node.toString().rstrip().endswith("parquet")
+
+
 def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """``docs`` stored with a number of its own for each row (``__row``), to decide by row where ids are null or repeated."""
-    return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number of its own for each row (``__row``), to decide by row where ids are null or repeated.
+
+    Rows of Parquet files are numbered by file and place in the file, which every scan
+    gives alike however its splits are dealt; rows from elsewhere are stored with their numbers.
+    """
+    if not _one_parquet_scan(docs):
+        return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())  # a row per file
+    number = F.broadcast(docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__file string, __number long"))
+    return placed.join(number, "__file").select(*docs.columns, (F.shiftleft("__number", PLACE_BITS) + F.col("__place")).alias("__row"))
 
 
 def carried(ws: Workspace, rows: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -71,8 +71,9 @@ class DigestIndex:
         """Add (digest, keep_id, n_code_points, batch) rows of digests that the index doesn't hold."""
         fresh = rows.hint("merge").join(self.read().hint("merge"), "digest", "left_anti")
         # Spark doesn't overwrite or append what it reads in the same job: the new digests are stored first
-        fresh = Workspace(self.spark, "fresh").save(fresh.select("digest", "keep_id", "n_code_points", "batch"), "fresh")
-        self._write(fresh.repartition(self.buckets, "digest"))
+        ws = Workspace(self.spark, "fresh")
+        self._write(ws.save(fresh.select("digest", "keep_id", "n_code_points", "batch"), "fresh").repartition(self.buckets, "digest"))
+        ws.drop("fresh")
 
     def dedup(self, batch: DataFrame, ws: Workspace, name: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
         """Decide on a batch of (doc_id, digest, n_code_points, order columns) and append its new digests.
@@ -91,6 +92,7 @@ class DigestIndex:
         known = self.read().select("digest", F.col("keep_id").alias("first_id"), F.col("batch").alias("first_batch"))
         decided = groups.select("digest", "group_size").hint("merge").join(known.hint("merge"), "digest")
         decided = ws.save(decided.select("digest", F.col("first_id").alias("keep_id"), "group_size", (F.col("first_batch") != name).alias("seen_before")), "decided")
+        ws.drop("groups")
         out = batch.join(decided, "digest")
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("seen_before")
         return out.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"), "seen_before")

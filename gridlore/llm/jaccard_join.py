@@ -578,6 +578,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = connected_components(ws, links.unionByName(repeated), "links")
     named = ws.save(classes.join(comp, classes["rep"] == comp["id"], "left")
                     .select("key", F.coalesce("component", "rep").alias("component_id")), "named")
+    # what is left to read is the profile and the components
+    ws.drop("classes", "found", "pairs", "some", "filters", "sizes", "member", "reps", "sets", "cut", "cut-now", "main", "links-0", "links-1")
     out = prof.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.hex("key").alias("class_key"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, numbered, without
+from .common import BROADCAST_IDS, Workspace, documents, numbered
 
 BUCKETS = 4096
 MAX_TRAIN_ROWS = 4000
@@ -218,13 +218,10 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = P
     ws = Workspace(docs.sparkSession, "resample")
     rows = numbered(ws, docs)
     rated, _ = mix(rows, labelled, targets, "doc_id", "text", "domain", budget, weights, "__row")
-    decided = ws.save(rated.where("copies <> 1").select("__row", "copies"), "decided")
-    once = without(rows, decided.select(F.col("__row").alias("doc_id")), "__row").drop("__row")
-    again = decided.where("copies > 1")
-    if again.isEmpty():
-        return once
-    again = again.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return once.unionByName(rows.join(again, "__row").drop("__row", "__copy"))
+    decided = ws.save(rated.where("copies <> 1").select("__row", F.col("copies").alias("__times")), "decided")
+    few = F.broadcast(decided) if decided.count() <= BROADCAST_IDS else decided  # one join: texts move at most once
+    out = rows.join(few, "__row", "left").withColumn("__times", F.coalesce("__times", F.lit(1)))
+    return out.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

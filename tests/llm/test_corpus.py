@@ -626,6 +626,27 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_numbered(spark, tmp_path):
+    """Rows of Parquet files get one number each whatever the splits, without a stored copy; others are stored."""
+    from gridlore.llm import common
+
+    docs = clashing(table(spark, [(i % 7, f"t{i}") for i in range(500)]).repartition(5))
+    docs.write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    ws = Workspace(spark, "t")
+    once = {r["__row"]: r["text"] for r in common.numbered(ws, read.where("doc_id < 6")).collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        again = common.numbered(ws, spark.read.parquet(f"{tmp_path}/d").where("doc_id < 6"))
+        assert {r["__row"]: r["text"] for r in again.collect()} == once and len(once) == sum(i % 7 < 6 for i in range(500))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert common._one_parquet_scan(read.select("doc_id", "text")) and not any(map(common._one_parquet_scan, (docs, read.union(read), read.join(read, "doc_id"))))
+    assert common.numbered(ws, read.union(read)).select("__row").distinct().count() == 1000
+    assert common.numbered(ws, read).columns == [*read.columns, "__row"]
+
+
 @pytest.mark.parametrize("stage", ["exact_dedup", "ngram_jaccard_join"])
 def test_stages_decide_by_row(spark, stage):
     same, other, third = "one two three four five six seven", "quite different words stand in here now", "a third text that nothing else resembles at all"
