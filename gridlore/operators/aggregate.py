@@ -161,7 +161,7 @@ def frequency(df: DataFrame, column: str, limit: int | None = None) -> DataFrame
         ranked = positions(counts, order, "at")
         listed = cumulate(ranked, [], ["at"], "count").select("value", "count", (F.col("at") + 1).alias("rank"), (F.col("before") + F.col("count")).alias("upto"))
     return listed.join(total).select("rank", "value", "count", (F.col("count") / F.col("total") * 100).alias("percent"),
-                                     (F.col("upto") / F.col("total") * 100).alias("cumulative_percent"))
+                                     (F.col("upto") / F.col("total") * 100).alias("cumulative_percent")).orderBy("rank")
 
 
 def pareto(df: DataFrame, column: str, limit: int = 20) -> DataFrame:

