@@ -228,9 +228,9 @@ def test_statistics(spark):
     df = frame(spark, ["v"], [(str(x),) for x in A10] + [("",), ("NA",)])
     r = T.descriptive(df, ["v"]).first()
     assert (r["n"], r["missing"]) == (10, 2)
-    q = duckdb.sql(f"""SELECT avg(v) AS mean, stddev_samp(v) AS sd, stddev_samp(v) / sqrt(10) AS se, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3,
+    q = duckdb.connect().execute(f"""SELECT avg(v) AS mean, stddev_samp(v) AS sd, stddev_samp(v) / sqrt(10) AS se, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3,
       quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, skewness(v) AS skewness, kurtosis(v) AS kurtosis, stddev_samp(v) / avg(v) AS cv FROM unnest({A10}::DOUBLE[]) t(v)""")
-    for name, want in zip(q.columns, q.fetchone(), strict=True):
+    for name, want in zip([c[0] for c in q.description], q.fetchone(), strict=True):
         assert r[name] == pytest.approx(want, abs=1e-9)
     half = 2.2621571627409915 * r["se"]  # of 9 degrees of freedom, from published tables
     assert T.confidence_interval(r["mean"], r["se"], 10) == pytest.approx((r["mean"] - half, r["mean"] + half), abs=1e-9)
