@@ -109,7 +109,7 @@ def assign(nodes: DataFrame, centres: dict[int, np.ndarray], probes: int) -> Dat
             dims = np.array([len(u) // 8 for u in units])
             for d in np.unique(dims).tolist():
                 if d not in shared.value:
-                    continue  # no vector of this length was in the sample: see single_length
+                    continue  # a length of which the sample has no vector: fewer than one in max_fit / n of them
                 at = np.flatnonzero(dims == d)
                 x = np.frombuffer(b"".join(units[i] for i in at), np.float64).reshape(-1, d)
                 near = _nearest(x, shared.value[d], probes)
