@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, shuffle_partitions
+from .common import Workspace, documents, lean, shuffle_partitions
 from .tokens import encoder, slices, tokenizer_path
 
 SEQ_LEN = 2048
@@ -154,6 +154,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     parts = shuffle_partitions(spark, chars, SHARD_CHARS)
     rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
+    @lean
     def write(batches):
         from pyspark import TaskContext
 
@@ -208,6 +209,7 @@ def read_shards(spark: SparkSession, manifest: list, folder: str) -> DataFrame:
         start += r["n_tokens"]
     todo = spark.createDataFrame(shards, "name string, base long").repartition(max(1, len(shards)))
 
+    @lean
     def read(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         store, path = _store(folder)

@@ -8,6 +8,8 @@ cluster that is an error, as executors don't see each other's disks.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -35,6 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+def release() -> None:
+    """Give memory that this process has freed, but its allocators hold, back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """``run`` (batches to batches), whose worker releases its free memory when the task ends.
+
+    Workers serve one stage after another; without this each keeps the peak of every stage it has run.
+    """
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 class Workspace:
     """Parquet tables under the shared folder, to cut lineage durably.
 
@@ -167,6 +194,7 @@ def carried(ws: Workspace, rows: DataFrame, key: list[str], order: list[str], va
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     at, value_at = [columns.index(k) for k in key], columns.index(value)
 
+    @lean
     def run(batches):
         import numpy as np
         import pyarrow as pa

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, documents
+from .common import Workspace, connected_components, documents, lean
 
 THRESHOLD = 0.9
 MAX_FIT = 32_768
@@ -75,6 +75,7 @@ def normalised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, key, unit): key and unit null where a vector is unusable."""
     schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("unit", pa.binary())])
 
+    @lean
     def run(batches):
         import xxhash
 
@@ -103,6 +104,7 @@ def assign(nodes: DataFrame, centres: dict[int, np.ndarray], probes: int) -> Dat
     shared = nodes.sparkSession.sparkContext.broadcast(centres)  # at most MAX_CELLS vectors per length
     schema = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("unit", pa.binary()), ("cells", pa.binary()), ("cell", pa.int64())])
 
+    @lean
     def run(batches):
         for batch in batches:
             units = batch.column(2).to_pylist()

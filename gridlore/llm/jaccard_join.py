@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, ROWS_A_FILE, Workspace, connected_components, documents, numbered, shuffle_partitions, without
+from .common import BROADCAST_IDS, ROWS_A_FILE, Workspace, connected_components, documents, lean, numbered, shuffle_partitions, without
 from .shingles import mix, shingle_sets, text_blocks
 
 WIDTH = 4
@@ -131,6 +131,7 @@ def profile(docs: DataFrame, ws: Workspace, width: int) -> tuple[DataFrame, np.n
                         ("slice", pa.int32()), ("cells", pa.binary())])
     size = sketch_size(docs)
 
+    @lean
     def run(batches):
         sketch, held = np.zeros(size, np.int32), []
         for batch in batches:
@@ -181,6 +182,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, width: int, threshold: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("k", pa.int64()), ("n_pos", pa.int64())])
 
+    @lean
     def run(batches):
         orders, done = Orders(shared.value), set()
         for batch in batches:
@@ -232,6 +234,7 @@ def block_edges(posts: DataFrame, parts: int, threshold: int) -> DataFrame:
         need = -(-threshold * (n[x] + n[y]) // (100 + threshold))
         return (100 * n[x] >= threshold * n[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
 
+    @lean
     def run(batches):
         held = list(batches)
         if not sum(map(len, held)):
@@ -328,6 +331,7 @@ def class_filters(docs: DataFrame, reps: DataFrame, sketch, width: int, threshol
     """
     schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("prefixes", pa.binary())])
 
+    @lean
     def run(batches):
         orders = Orders(sketch.value)
 
@@ -368,6 +372,7 @@ def pass_filters(pairs: DataFrame, filters: DataFrame, threshold: int) -> DataFr
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b", "pa", "pb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def run(batches):
         for whole in batches:
             for lo in range(0, len(whole), 1024):
@@ -391,6 +396,7 @@ def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                                        F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"))
     schema = pa.schema([("grp", pa.int64()), ("chunks", pa.int32()), ("chunk", pa.int32()), ("rep", pa.int64()), ("shingles", pa.binary())])
 
+    @lean
     def run(batches):
         for batch in batches:
             for at, sets in _sets_of(batch, width):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 from .tokens import slices
 
 BUCKETS = 1 << 15
@@ -106,6 +106,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartition(SAMPLE_TASKS)
 
+    @lean
     def count(batches):
         tables: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
@@ -145,6 +146,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @lean
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, documents, lean
 from .tokens import CACHE_PIECES, encoder, slices, tokenizer_path
 
 TIERS = (2048, 1024, 512, 256)
@@ -197,6 +197,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @lean
     def run(batches):
         from pyspark import TaskContext
 

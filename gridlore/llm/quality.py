@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 from .shingles import text_blocks, word_hashes
 
 MAX_TRAIN_ROWS = 10_000
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = rows.join(known, "__id").select("__label", "__text")
 
+    @lean
     def run(batches):
         schema = pa.schema([("label", pa.int32()), ("x", pa.binary())])
         for batch in batches:
@@ -157,6 +158,7 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @lean
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
         for batch in batches:

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridlore.llm import binary_output, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, packing, pii, quality, quotes
-from gridlore.llm.common import Workspace, carried, connected_components
+from gridlore.llm.common import Workspace, carried, connected_components, lean
 from gridlore.llm.queries import QUERIES
 from gridlore.llm.tokens import Encoder, tokenizer_path
 
@@ -716,3 +716,15 @@ def test_pipeline(spark):
         docs = out
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "mixing", "packing"]
+
+
+def test_lean_passes_all_batches_and_errors():
+    def double(batches):
+        for b in batches:
+            if b == 9:
+                raise ValueError("nine")
+            yield 2 * b
+
+    assert list(lean(double)([1, 2, 3])) == [2, 4, 6] and list(lean(double)([])) == []
+    with pytest.raises(ValueError, match="nine"):
+        list(lean(double)([1, 9]))
