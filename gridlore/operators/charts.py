@@ -100,10 +100,15 @@ def density_grid(df: DataFrame, x: str, y: str, columns: int = GRID[0], rows: in
         F.count(F.lit(1)).alias("count"))
 
 
+def points(df: DataFrame, x: str, y: str) -> DataFrame:
+    """x, y: all finite pairs, however many."""
+    return df.select(S.finite(S.number(df, x)).alias("x"), S.finite(S.number(df, y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+
+
 def scatter(df: DataFrame, x: str, y: str, cap: int = SCATTER_POINTS) -> tuple[str, DataFrame]:
     """("points", all finite pairs) up to ``cap`` of them, else ("grid", density grid)."""
-    points = df.select(S.finite(S.number(df, x)).alias("x"), S.finite(S.number(df, y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    return ("points", points) if points.limit(cap + 1).count() <= cap else ("grid", density_grid(df, x, y))
+    found = points(df, x, y)
+    return ("points", found) if found.limit(cap + 1).count() <= cap else ("grid", density_grid(df, x, y))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
