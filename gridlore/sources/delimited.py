@@ -221,14 +221,15 @@ def open_delimited(spark: SparkSession, path: str, encoding: str | None = None,
     if not header:
         names = [""] * len(names)
     warnings = ["the header's quotes are damaged; its first line was used"] if damaged else []
-    blocks = _line_counts(spark, path)
+    lines = _lines(spark, path)
+    blocks = _line_counts(lines)
     if not blocks:
         rows = spark.createDataFrame([], "_row long, _fields array<string>")
     elif any(b["quoted"] for b in blocks) or encoding not in ("utf-8", "utf-8-sig"):
-        rows, problem = _quoted(spark, path, encoding, delimiter, blocks, damaged)
+        rows, problem = _quoted(spark, path, lines, encoding, delimiter, blocks, damaged)
         warnings += [problem] if problem else []
     else:
-        rows = _plain(spark, path, delimiter, blocks)
+        rows = _plain(spark, lines, delimiter, blocks)
     if header:
         rows = rows.where("_row > 0")
     else:
@@ -238,25 +239,32 @@ def open_delimited(spark: SparkSession, path: str, encoding: str | None = None,
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, f, b, i): lines with their split's file and first byte, and a number that grows within the split."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"),
-                                        F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    """(line, f, b, i): lines with their split's file and first byte, and a number that grows within the split.
+
+    Every pass must meet the splits that the first one counted.  Spark cuts files by settings and by the executors
+    there are just then, so the scan belongs to a session of its own that keeps what held when the file was opened.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism))
+    lines = own.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"),
+                                       F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, lines._jdf.queryExecution().analyzed()), spark)
 
 
-def _line_counts(spark: SparkSession, path: str) -> list:
+def _line_counts(lines: DataFrame) -> list:
     """(f, b, n, first, quoted) of every split that has lines, in file order."""
-    found = _lines(spark, path).groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"), F.max(F.contains("line", F.lit('"'))).alias("quoted"))
+    found = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"), F.max(F.contains("line", F.lit('"'))).alias("quoted"))
     return found.orderBy("f", "b").collect()
 
 
-def _plain(spark: SparkSession, path: str, delimiter: str, blocks: list) -> DataFrame:
+def _plain(spark: SparkSession, lines: DataFrame, delimiter: str, blocks: list) -> DataFrame:
     """(_row from 0, _fields) of quote-free files: a line's row follows from its split's first row."""
     start, rows = 0, []
     for r in blocks:
         rows.append((r["f"], r["b"], start - r["first"]))
         start += r["n"]
     base = F.broadcast(spark.createDataFrame(rows, "f string, b long, base long"))  # a row per split
-    lines = _lines(spark, path).join(base, ["f", "b"])
+    lines = lines.join(base, ["f", "b"])
     row = F.col("base") + F.col("i")
     bare = F.when(row == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
     return lines.select(row.alias("_row"), F.split(bare, "\\Q" + delimiter + "\\E", -1).alias("_fields"))
@@ -394,9 +402,8 @@ def _both_states(path_lines: DataFrame, encoding: str, delimiter: str) -> DataFr
     return path_lines.select("f", "b", F.col("line").cast("binary").alias("line")).mapInArrow(run, _SPLIT)
 
 
-def _quoted(spark: SparkSession, path: str, encoding: str, delimiter: str, blocks: list, damaged: bool) -> tuple[DataFrame, str | None]:
+def _quoted(spark: SparkSession, path: str, lines: DataFrame, encoding: str, delimiter: str, blocks: list, damaged: bool) -> tuple[DataFrame, str | None]:
     """((_row from 0, _fields), warning) of files with quotes or of another encoding."""
-    lines = _lines(spark, path)
     if damaged:  # the header is the first line, whatever its quotes
         lines = lines.where((F.col("b") > 0) | (F.col("i") != blocks[0]["first"]) | (F.col("f") != blocks[0]["f"]))
     states = store(_both_states(lines, encoding, delimiter))

@@ -245,3 +245,17 @@ def test_quote_warnings(spark, tmp_path):
     path.write_text('name,note\n"A ""b""",x\n5" pipe,y\n')
     t = D.open_delimited(spark, str(path))
     assert t.warnings == [] and read_rows(t) == [['A "b"', "x"], ['5" pipe', "y"]]
+
+
+@pytest.mark.parametrize("cell", ["b", '"b, c"'])
+def test_splits_stay_as_opened(spark, tmp_path, cell):
+    (tmp_path / "t.csv").write_text("k,v\n" + "".join(f"{i},{cell}\n" for i in range(20_000)))
+    t = D.open_delimited(spark, str(tmp_path / "t.csv"))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # as executors that come and go cut files anew
+        assert t.df.agg(F.count("*"), F.max("_row"), F.count_if(F.col("_row") == F.col("c0").cast("long") + 1)).first() == (20_000, 20_000, 20_000)
+        cut = D.open_delimited(spark, str(tmp_path / "t.csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert cut.df.agg(F.count("*"), F.count_if(F.col("_row") == F.col("c0").cast("long") + 1)).first() == (20_000, 20_000)
